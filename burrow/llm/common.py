@@ -9,8 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """One input table, pruned to ``columns`` so that only these reach the scan."""
+    """One input table, pruned to ``columns`` so that only these reach the scan.
+
+    Arrow batches are kept to BATCH rows, since a batch of whole texts is held by the JVM and by a worker at once.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, str(BATCH))
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 

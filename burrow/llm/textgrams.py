@@ -10,7 +10,7 @@ import numpy as np
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-SLICE = 2 << 20
+SLICE = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -71,11 +71,11 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def hashed_words(column):
-    """``(row, hashes)`` per text, in order; work is cut into slices of about two MB, a longer text at white space."""
+    """``(row, hashes)`` per text, in order; work is cut into slices of about one MB, a longer text at white space."""
     raw, offsets, _ = buffers(column)
     n, row = len(offsets) - 1, 0
     while row < n:
-        if offsets[row + 1] - offsets[row] > 4 * SLICE:
+        if offsets[row + 1] - offsets[row] > 2 * SLICE:
             parts, at, stop = [], int(offsets[row]), int(offsets[row + 1])
             while at < stop:
                 end = min(stop, at + SLICE)
