@@ -37,15 +37,24 @@ def slots(word: str) -> list[int]:
     return [0, *(1 + xxhash.xxh32_intdigest(f.encode()) % ((1 << BITS) - 1) for f in features(word))]
 
 
-def lexicon(rows: list[tuple[list[str], int]], least: int = 5, odds: float = 4.0) -> set[str]:
-    """Features that tell toxic documents: in at least ``least`` of them, and ``odds`` (log) likelier than in clean ones."""
+def lexicon(rows: list[tuple[list[str], int]], odds: float = 4.5, clean: float = 0.002) -> set[str]:
+    """Features that tell toxic documents: in several of them, ``odds`` (log) likelier than in clean ones, and in no
+    more than a ``clean`` share of these. Near copies count once: of documents with the same least shingle hash, the
+    first."""
     from collections import Counter
 
-    seen = {0: Counter(), 1: Counter()}
-    total = Counter(y for _, y in rows)
+    import xxhash
+
+    seen, total, met = {0: Counter(), 1: Counter()}, Counter(), set()
     for words, y in rows:
+        least = min((xxhash.xxh64_intdigest(" ".join(words[i : i + 4])) for i in range(max(1, len(words) - 3))), default=0)
+        if (least, y) in met:
+            continue
+        met.add((least, y))
+        total[y] += 1
         seen[y].update({f for w in set(words) for f in features(w)[:-1]})
-    return {f for f, n in seen[1].items() if n >= least and math.log((n + 0.5) / (total[1] + 1)) - math.log((seen[0][f] + 0.5) / (total[0] + 1)) > odds}
+    few = min(8, max(3, total[1] // 150))
+    return {f for f, n in seen[1].items() if n >= few and seen[0][f] <= clean * total[0] and math.log((n + 0.5) / (total[1] + 1)) - math.log((seen[0][f] + 0.5) / (total[0] + 1)) > odds - (total[0] < 1000)}
 
 
 def marginals(score, lengths, moves):
@@ -130,8 +139,9 @@ def summary(p, lengths):
     return np.stack([np.ones(len(lengths)), top, np.log1p(total)], axis=1)
 
 
-def train(rows: list[tuple[str, int]], most: int = 1000, turns: int = 40) -> Model | None:
-    """Trains on ``rows`` of text and label; the chain on at most ``most`` documents, half of them toxic."""
+def train(rows: list[tuple[str, int]], most: int = 1000, turns: int = 25, longest: int = 1500) -> Model | None:
+    """Trains on ``rows`` of text and label; the chain on at most ``most`` documents of at most
+    ``longest`` words, half of them toxic."""
     import numpy as np
 
     told = [(WORD.findall((t or "").lower()), y) for t, y in rows]
@@ -145,7 +155,7 @@ def train(rows: list[tuple[str, int]], most: int = 1000, turns: int = 40) -> Mod
             toxic[w] = any(f in known for f in features(w)[:-1])
         return toxic[w]
 
-    used = [x for y in (0, 1) for x in [x for x in told if x[1] == y and x[0]][: most // 2]]
+    used = [x for y in (0, 1) for x in [x for x in told if x[1] == y and 0 < len(x[0]) <= longest][: most // 2]]
     lengths = np.array([len(x) for x, _ in used])
     words = [w for x, _ in used for w in x]
     y = np.array([bool(label) and is_toxic(w) for x, label in used for w in x], float)
@@ -159,7 +169,6 @@ def train(rows: list[tuple[str, int]], most: int = 1000, turns: int = 40) -> Mod
     inner[ends] = False
     inner = np.flatnonzero(inner)
     want = np.array([[np.sum((y[inner] == i) * (y[inner + 1] == j)) for j in (0, 1)] for i in (0, 1)])
-    weight = max(1.0, (len(y) - y.sum()) / max(1.0, y.sum()))
     for _ in range(turns):
         emit = np.bincount(owner, weights[flat], len(kinds))[kind]
         moves = np.exp(logs)
@@ -174,7 +183,6 @@ def train(rows: list[tuple[str, int]], most: int = 1000, turns: int = 40) -> Mod
         log_step += move_slope**2
         logs += 0.2 * move_slope / np.sqrt(log_step)
     model = Model(weights, np.exp(logs), np.zeros(3))
-    del weight
     p, n = model.probabilities([x for x, _ in told])
     x, label = summary(p, n), np.array([v for _, v in told], float)
     curve = np.zeros(3)
