@@ -11,7 +11,7 @@ from burrow.operators.discovery import Rule
 NAME = "burrow.toml"
 # Manifests and directories that are looked for or left out unless configured.
 MANIFESTS = ("package.json", "go.mod", "go.work", "Cargo.toml", "pyproject.toml", "pom.xml", "build.gradle", "build.gradle.kts", "settings.gradle", "settings.gradle.kts", "cpanfile", "Gemfile")
-EXCLUDED = ("node_modules", "vendor", "dist", ".build", "target", "third_party", ".gradle", "build")
+EXCLUDED = ("node_modules", "vendor", "dist", ".build", "target", "third_party", ".burrow", ".gradle", "build")
 
 
 @dataclass
