@@ -8,7 +8,8 @@ blocks find counts in the first of them only. All found pairs are verified by co
 
 A cell returns sums and a spanning forest, never pairs, so a hot vector costs comparisons but no rows; cells above a
 size are dealt out as pairs of tiles. Vectors that are null, zero, or hold null or non-finite components, and rows
-with a null label, link with nothing and keep their own id. Rows with equal vec_id are one vector each.
+with a null label or vec_id, link with nothing and keep their own id. Rows that repeat a vec_id and its vector count
+once and all have its result; a vec_id with several vectors has the links of all of them, but none with itself.
 """
 
 from __future__ import annotations
@@ -106,6 +107,11 @@ def _visits(block: int, grid: int, cosine: float, spread: float):
     return run
 
 
+def _firsts(ids, bodies: list[bytes]) -> list[int]:
+    """Places of the rows that repeat no earlier one."""
+    return list({row: k for k, row in reversed(list(enumerate(zip(ids.tolist(), bodies, strict=True))))}.values())[::-1]
+
+
 def _compare(block: int, cosine: float):
     def run(group):
         import numpy as np
@@ -123,6 +129,8 @@ def _compare(block: int, cosine: float):
         out = {"vec_id": [], "links": [], "other": []}
         for x, y in zip(cuts[:-1], cuts[1:], strict=True):
             own = order[x:y]
+            if (ids[own[1:]] == ids[own[:-1]]).any():
+                own = own[_firsts(ids[own], [bodies[int(k)].as_py() for k in own])]
             own_home = home[own].astype(bool)
             if len(own) < 2 or not own_home.any():
                 continue
@@ -142,7 +150,7 @@ def _compare(block: int, cosine: float):
                 hit_r, hit_c = np.nonzero(turned[r] @ turned[cols].T >= cosine - 1e-6)
                 for t in range(0, len(hit_r), 1 << 16):
                     p, q = r[hit_r[t : t + (1 << 16)]], cols[hit_c[t : t + (1 << 16)]]
-                    other = p != q
+                    other = ids[own[p]] != ids[own[q]]
                     p, q = p[other], q[other]
                     dot, first = np.zeros(len(p)), np.ones(len(p), bool)
                     for k in range(dim):
@@ -184,7 +192,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, cosine: float =
     """
     scratch = Scratch(spark)
     vectors = vectors.select("vec_id", "embedding", "label")
-    visits = vectors.where("label is not null and embedding is not null").mapInArrow(_visits(block, grid, cosine, spread), "label long, block long, cell long, home boolean, vec_id long, body binary")
+    visits = vectors.where("vec_id is not null and label is not null and embedding is not null").mapInArrow(_visits(block, grid, cosine, spread), "label long, block long, cell long, home boolean, vec_id long, body binary")
     visits = scratch.save(visits, "visits")
     cells = visits.groupBy("label", "block", "cell").agg(F.count("*").alias("n"), F.max("home").alias("any")).where("n > 1 and any").select("label", "block", "cell", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
     dealt = visits.join(cells, ["label", "block", "cell"]).withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int"))
@@ -198,4 +206,4 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, cosine: float =
     found = scratch.save(dealt.groupBy("bin").applyInArrow(_compare(block, cosine), "vec_id long, links long, other long"), "found")
     labels = components(found.select(F.col("vec_id").alias("a"), F.col("other").alias("b")), scratch, "vector").withColumnRenamed("node", "vec_id")
     counts = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
-    return vectors.select("vec_id").join(counts, "vec_id", "left").join(labels, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), (F.coalesce("component", "vec_id") == F.col("vec_id")).alias("kept"))
+    return vectors.select("vec_id").join(counts, "vec_id", "left").join(labels, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.coalesce(F.col("component") == F.col("vec_id"), F.lit(True)).alias("kept"))
