@@ -35,6 +35,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def free_prefix(columns: list[str], start: str) -> str:
+    """``start``, with underscores added until no column begins with it (Spark's names ignore case)."""
+    while any(c.lower().startswith(start) for c in columns):
+        start += "_"
+    return start
+
+
 class Scratch:
     """Parquet tables in the shared folder. They cut lineage, survive lost executors and carry sizes for the optimizer."""
 

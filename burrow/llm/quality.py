@@ -7,7 +7,8 @@ a host toward the global rate, the more so the fewer documents it has. A documen
 with its site's posterior, from which the document itself is left out.
 
 Null texts count as empty. Null hosts or paths form a site of their own. With no labelled rows, or only one kind of
-label, every document is kept with its site's rate at one half. Repeated rows each count.
+label, every document is kept with its site's rate at one half. Repeated rows each count. Columns of the documents are
+kept, whatever their names, but for four named like the results, which are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from burrow.llm.common import Scratch
+from burrow.llm.common import Scratch, free_prefix
 
 _SYMBOL = re.compile(r"[^\w\s.,;:'\"()?\-]")
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
@@ -80,7 +81,7 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, most: int) -> list[t
     return [(r["text"], int(r["y"])) for r in rows]
 
 
-def _evidence(weights: list[float] | None, kept: list[str]):
+def _evidence(weights: list[float] | None, kept: list[str], name: str = "evidence_"):
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -90,7 +91,7 @@ def _evidence(weights: list[float] | None, kept: list[str]):
                 e = np.zeros(batch.num_rows)
             else:
                 e = np.array([measures(t or "") for t in batch.column("text").to_pylist()]).reshape(batch.num_rows, len(weights)) @ np.array(weights)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.clip(e, -MOST_DOC, MOST_DOC))], names=[*kept, "evidence_"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.clip(e, -MOST_DOC, MOST_DOC))], names=[*kept, name])
 
     return run
 
@@ -126,15 +127,17 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, host: s
     ``host`` and ``path``: columns that name a document's site. ``most``: labelled rows that the regression is fitted on.
     """
     scratch = Scratch(spark)
-    docs = docs.select(*(c for c in docs.columns if c not in ("quality_doc", "quality_site", "quality_score", "quality_keep", "evidence_", "host_", "path_")))
+    docs = docs.select(*(c for c in docs.columns if c.lower() not in ("quality_doc", "quality_site", "quality_score", "quality_keep")))
+    q = free_prefix(docs.columns, "q_")
     weights = fit(sample(docs, labels, "quality", most))
     site = [F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("host_"), F.coalesce(F.col(path).cast("string"), F.lit("\0")).alias("path_")]
-    told = docs.select("*", *site)
-    narrow = told.select("host_", "path_", "text").mapInArrow(_evidence(weights, ["host_", "path_"]), "host_ string, path_ string, evidence_ double")
+    narrow = docs.select(*site, "text").mapInArrow(_evidence(weights, ["host_", "path_"]), "host_ string, path_ string, evidence_ double")
     sites, rate = site_posteriors(narrow, scratch)
-    scored = told.mapInArrow(_evidence(weights, told.columns), StructType(list(told.schema)).add("evidence_", DoubleType()))
-    own = "1 / (1 + exp(-evidence_))"
-    joined = scored.join(sites, ["host_", "path_"], "left")
-    posterior = f"greatest(1e-6D, least(1 - 1e-6D, (site_good - {own} + strength * host_rate) / (site_n - 1 + strength)))"
+    sites = sites.select(*(F.col(c).alias(q + c) for c in sites.columns))
+    told = docs.select("*", *(c.alias(q + n) for c, n in zip(site, ("host_", "path_"), strict=True)))
+    scored = told.mapInArrow(_evidence(weights, told.columns, f"{q}evidence_"), StructType(list(told.schema)).add(f"{q}evidence_", DoubleType()))
+    own = f"1 / (1 + exp(-{q}evidence_))"
+    joined = scored.join(sites, [f"{q}host_", f"{q}path_"], "left")
+    posterior = f"greatest(1e-6D, least(1 - 1e-6D, ({q}site_good - {own} + {q}strength * {q}host_rate) / ({q}site_n - 1 + {q}strength)))"
     shift = f"greatest(-{MOST_SITE}D, least({MOST_SITE}D, ln(quality_site / (1 - quality_site)) - {math.log(rate / (1 - rate))!r}D))"
-    return joined.withColumn("quality_doc", F.expr(own)).withColumn("quality_site", F.expr(posterior)).withColumn("quality_score", F.expr(f"1 / (1 + exp(-(evidence_ + {shift})))")).withColumn("quality_keep", F.expr("quality_score >= 0.5")).select(*docs.columns, "quality_doc", "quality_site", "quality_score", "quality_keep")
+    return joined.withColumn("quality_doc", F.expr(own)).withColumn("quality_site", F.expr(posterior)).withColumn("quality_score", F.expr(f"1 / (1 + exp(-({q}evidence_ + {shift})))")).withColumn("quality_keep", F.expr("quality_score >= 0.5")).select(*docs.columns, "quality_doc", "quality_site", "quality_score", "quality_keep")
