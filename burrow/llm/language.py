@@ -124,7 +124,7 @@ def learn(labelled: DataFrame) -> dict[str, list[float]]:
 
 def identify(docs: DataFrame, prototypes: dict[str, list[float]]) -> DataFrame:
     """The rows of ``docs`` with ``lang_pred`` and ``score`` added (0 to 1); existing columns of these names are replaced."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     docs = docs.select(*kept)
 
     def run(batches):

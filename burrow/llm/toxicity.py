@@ -204,7 +204,7 @@ def sample(docs: DataFrame, labels: DataFrame, most: int) -> list[tuple[str, int
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of ``docs`` with ``toxic_score`` and ``toxic_spans`` (start, end, probability of words at 0.5 or more)."""
-    kept = [c for c in docs.columns if c not in ("toxic_score", "toxic_spans")]
+    kept = [c for c in docs.columns if c.lower() not in ("toxic_score", "toxic_spans")]
     docs = docs.select(*kept)
 
     def run(batches):
