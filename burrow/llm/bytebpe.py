@@ -21,6 +21,8 @@ from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 
+from burrow.llm.common import frugal, worker_cache
+
 MEMO = 250_000
 _ODD = re.compile(r"\s\s|\A\s|\s\Z")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -103,13 +105,11 @@ class Codec:
         yield held.decode(b"", final=True)
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    kept = worker_cache("bytebpe")
+    if path not in kept:
+        kept[path] = Codec(path)
+    return kept[path]
 
 
 def _slices(texts: list, chars: int = 1 << 20):
@@ -186,4 +186,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` per row of ``docs(doc_id, text)``: encoded, then decoded from the ids."""
-    return docs.select("doc_id", "text").mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(frugal("bytebpe", _digests(path)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -4,19 +4,71 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 BATCH = 1000
+BATCH_BYTES = 8 << 20
+_kept: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What the tasks of one operator keep in a Python worker. Spark gives a worker to stage after stage, so the first
+    task of another operator drops what the one before kept."""
+    if owner not in _kept:
+        _kept.clear()
+        _kept[owner] = {}
+    return _kept[owner]
+
+
+def give_back() -> None:
+    """Returns freed memory of Arrow and of the C library to the system; else an idle worker holds it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def frugal(owner: str, run: Callable) -> Callable:
+    """A function for mapInArrow that starts without other operators' caches and gives freed memory back at its end."""
+
+    def whole(batches):
+        worker_cache(owner)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def frugal_group(owner: str, run: Callable) -> Callable:
+    """The same for applyInArrow."""
+
+    def whole(group):
+        worker_cache(owner)
+        try:
+            return run(group)
+        finally:
+            give_back()
+
+    return whole
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One input table, pruned to ``columns`` so that only these reach the scan.
 
-    Arrow batches are kept to BATCH rows, since a batch of whole texts is held by the JVM and by a worker at once.
+    Arrow batches are kept to BATCH rows and BATCH_BYTES, since a batch of whole texts is held by the JVM and by a
+    worker at once.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH:
         spark.conf.set(key, str(BATCH))
@@ -92,7 +144,7 @@ def components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     that adaptive execution can split, so a node that meets a third of all edges does not land in one task.
     """
     def stars(df: DataFrame) -> DataFrame:
-        return df.mapInArrow(_forest, "a long, b long")
+        return df.mapInArrow(frugal("components", _forest), "a long, b long")
 
     now = scratch.save(stars(edges.select("a", "b").where("a <> b")).distinct(), f"{tag}-0")
     for turn in range(1, 60):

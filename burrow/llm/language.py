@@ -15,7 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from burrow.llm.common import frugal
+
 DIM = 1000
+MEMO = 10_000
 SHARPNESS = 12.0
 _alpha = None
 _vectors: dict = {}
@@ -55,6 +58,8 @@ def letter_vector(code: int):
     import numpy as np
 
     if code not in _vectors:
+        if len(_vectors) >= MEMO:
+            _vectors.clear()
         _vectors[code] = np.random.default_rng(code).integers(0, 2, DIM, dtype=np.int8) * 2 - 1
     return _vectors[code]
 
@@ -115,7 +120,7 @@ def _profiles(batches):
 def learn(labelled: DataFrame) -> dict[str, list[float]]:
     """Prototype by language, from all rows of ``labelled(text, lang)`` that have both. One vector per language and
     task is shuffled, by language and dimension; what reaches the driver is a vector per language."""
-    rows = labelled.where("text is not null and lang is not null").select("text", "lang").mapInArrow(_profiles, "lang string, dim int, value long").groupBy("lang", "dim").agg(F.sum("value").alias("value")).collect()
+    rows = labelled.where("text is not null and lang is not null").select("text", "lang").mapInArrow(frugal("language", _profiles), "lang string, dim int, value long").groupBy("lang", "dim").agg(F.sum("value").alias("value")).collect()
     found: dict = {}
     for r in rows:
         found.setdefault(r["lang"], [0.0] * DIM)[r["dim"]] = float(r["value"])
@@ -162,4 +167,4 @@ def identify(docs: DataFrame, prototypes: dict[str, list[float]]) -> DataFrame:
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     schema = StructType(list(docs.schema)).add("lang_pred", StringType()).add("score", DoubleType())
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal("language", run), schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from burrow.llm.common import Scratch, free_prefix
+from burrow.llm.common import Scratch, free_prefix, frugal
 
 _SYMBOL = re.compile(r"[^\w\s.,;:'\"()?\-]")
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
@@ -131,11 +131,11 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, host: s
     q = free_prefix(docs.columns, "q_")
     weights = fit(sample(docs, labels, "quality", most))
     site = [F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("host_"), F.coalesce(F.col(path).cast("string"), F.lit("\0")).alias("path_")]
-    narrow = docs.select(*site, "text").mapInArrow(_evidence(weights, ["host_", "path_"]), "host_ string, path_ string, evidence_ double")
+    narrow = docs.select(*site, "text").mapInArrow(frugal("quality", _evidence(weights, ["host_", "path_"])), "host_ string, path_ string, evidence_ double")
     sites, rate = site_posteriors(narrow, scratch)
     sites = sites.select(*(F.col(c).alias(q + c) for c in sites.columns))
     told = docs.select("*", *(c.alias(q + n) for c, n in zip(site, ("host_", "path_"), strict=True)))
-    scored = told.mapInArrow(_evidence(weights, told.columns, f"{q}evidence_"), StructType(list(told.schema)).add(f"{q}evidence_", DoubleType()))
+    scored = told.mapInArrow(frugal("quality", _evidence(weights, told.columns, f"{q}evidence_")), StructType(list(told.schema)).add(f"{q}evidence_", DoubleType()))
     own = f"1 / (1 + exp(-{q}evidence_))"
     joined = scored.join(sites, [f"{q}host_", f"{q}path_"], "left")
     posterior = f"greatest(1e-6D, least(1 - 1e-6D, ({q}site_good - {own} + {q}strength * {q}host_rate) / ({q}site_n - 1 + {q}strength)))"

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from burrow.llm.common import frugal
+
 WORD = re.compile(r"\w+")
 SEED = 5
 BLOCK = 4 << 20
@@ -134,7 +136,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.8) -
                 doc, item, n, covered, count = (list(x) for x in zip(*rows, strict=True)) if rows else ([],) * 5
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(n, pa.int64()), pa.array(covered, pa.int64()), pa.array([a / b for a, b in zip(covered, n, strict=True)], pa.float64()), pa.array(count, pa.int64())], names=["doc_id", "item_id", "n_words", "covered", "coverage", "n_tiles"])
 
-        part = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, n_words long, covered long, coverage double, n_tiles long")
+        part = docs.select("doc_id", "text").mapInArrow(frugal("tiling", run), "doc_id long, item_id long, n_words long, covered long, coverage double, n_tiles long")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -149,5 +151,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.8)
             for batch in batches:
                 yield batch.filter(pa.array([not (t and block.match(t, share)) for t in batch.column("text").to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, StructType(list(docs.schema)))
+        docs = docs.mapInArrow(frugal("tiling", run), StructType(list(docs.schema)))
     return docs
