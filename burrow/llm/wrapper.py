@@ -3,9 +3,10 @@
 A page is a stream of block tags and text slots. Runs that repeat become repeated groups, so that a page's stream is a
 short expression. The distinct expressions of a host are aligned one after another: what both have stays, what one
 lacks becomes optional, groups that differ inside are aligned inside; unions never arise. The result is the host's
-wrapper. Each of its text slots is marked as content or not, by the elements that enclose it: an article (or main)
-outside navigation, header, footer, sidebar, advert, form, notice and comment elements; in a wrapper without article
-or main, everything outside those. A page is then read along its wrapper: texts in content slots form blocks.
+wrapper. Each of its text slots is marked by the elements that enclose it: inside navigation, header, footer, sidebar,
+advert, form, notice and comment elements, or outside those within an article (or main), or outside both. A page is then
+read along its wrapper: texts in its article or main form blocks; in a page with no text there, all outside the excluded
+elements do, whatever other pages of the host have.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed.
 Null or empty html gives an empty text. Pages without a host share one wrapper. Repeated rows are treated one by one.
@@ -203,8 +204,8 @@ def aligned(a: list, b: list) -> list:
     return folded(out)
 
 
-def slots(expression: list) -> dict[str, bool]:
-    """Paths of enclosing elements at which the wrapper has text, and whether it is content."""
+def slots(expression: list) -> dict[str, int]:
+    """Paths of enclosing elements at which the wrapper has text: 0 in an excluded element, else 2 in article or main, 1 outside."""
     paths: set[tuple[str, ...]] = set()
 
     def walk(items, path):
@@ -223,21 +224,20 @@ def slots(expression: list) -> dict[str, bool]:
         return path
 
     walk(expression, ())
-    has_main = any(k in MAIN for p in paths for k in p)
-    return {"/".join(p): not any(k.endswith("!") for k in p) and (not has_main or any(k in MAIN for k in p)) for p in paths}
+    return {"/".join(p): 0 if any(k.endswith("!") for k in p) else 1 + any(k in MAIN for k in p) for p in paths}
 
 
-def main_text(page: str, wrapper: dict[str, bool]) -> str:
-    """Texts of a page in the wrapper's content slots. Where a page has a slot that its wrapper lacks, its own
-    expression stands in for the wrapper."""
-    blocks, held, path = [], [], []
-    content: dict[str, bool] = wrapper
+def main_text(page: str, wrapper: dict[str, int]) -> str:
+    """Texts of a page in slots of its article or main, or in all slots that aren't excluded if it has no text there.
+    Where a page has a slot that its wrapper lacks, its own expression stands in for the wrapper."""
+    blocks, held, path = {1: [], 2: []}, [], []
+    content: dict[str, int] = wrapper
 
     def flush():
         if held:
             text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
             if text:
-                blocks.append(text)
+                blocks[content["/".join(path)]].append(text)
             held.clear()
 
     for kind, value in events(page):
@@ -255,7 +255,7 @@ def main_text(page: str, wrapper: dict[str, bool]) -> str:
             while path and path.pop() != value:
                 pass
     flush()
-    return "\n".join(blocks)
+    return "\n".join(blocks[2] or blocks[1])
 
 
 def _expressions(batches):

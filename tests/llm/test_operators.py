@@ -174,6 +174,15 @@ def test_wrapper_text(spark):
     assert got[0] == "Head & line\none two three\nfour\na\nb" and got[1] == "Head & line\none two three\na\nb" and got[2] == "" and got[3] == "plain\ntext"
 
 
+def test_wrapper_mixed_host(spark):
+    """A page without article or main keeps its text, whatever the other pages of its host have."""
+    a, b = "<body><article><p>in</p></article><div><p>out</p></div></body>", "<body><div><p>main text</p></div><nav>menu</nav></body>"
+    c = "<body><aside><article>teaser</article></aside><article>&nbsp;</article><div><p>own</p></div></body>"
+    rows = [(k, url and f"{url}{k}", page) for url, at in (("https://mixed.org/", 0), (None, 10), ("no host ", 20)) for k, page in ((at, a), (at + 1, b), (at + 2, c))]
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in wrapper.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {at + k: (text, len(text)) for at in (0, 10, 20) for k, text in enumerate(("in", "main text", "own"))}
+
+
 def test_wrapper_is_union_free():
     a, b = (wrapper.folded(wrapper.stream(x)) for x in ("<div><p>x</p><p>y</p><ul><li>1</li></ul></div>", "<div><p>x</p><p>y</p><p>z</p></div>"))
     both = wrapper.aligned(a, b)
