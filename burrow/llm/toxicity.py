@@ -37,10 +37,20 @@ def slots(word: str) -> list[int]:
     return [0, *(1 + xxhash.xxh32_intdigest(f.encode()) % ((1 << BITS) - 1) for f in features(word))]
 
 
-def lexicon(rows: list[tuple[list[str], int]], odds: float = 4.5, clean: float = 0.002) -> set[str]:
-    """Features that tell toxic documents: in several of them, ``odds`` (log) likelier than in clean ones, and in no
-    more than a ``clean`` share of these. Near copies count once: of documents with the same least shingle hash, the
-    first."""
+def by_chance(n: int, m: int, share: float) -> float:
+    """Log probability that of ``n + m`` documents at least ``n`` are toxic, if each is with probability ``share``."""
+    first = math.lgamma(n + m + 1) - math.lgamma(n + 1) - math.lgamma(m + 1) + n * math.log(share) + (m * math.log1p(-share) if m else 0)
+    total = term = 1.0
+    for k in range(m):
+        term *= (m - k) / (n + k + 1) * share / (1 - share)
+        total += term
+    return first + math.log(total)
+
+
+def lexicon(rows: list[tuple[list[str], int]], clean: float = 0.002) -> set[str]:
+    """Features that tell toxic documents: in more of them than chance explains, with less than one false feature
+    expected among all, and in no more than a ``clean`` share of clean ones. Near copies count once: of documents with
+    the same least shingle hash, the first."""
     from collections import Counter
 
     import xxhash
@@ -53,8 +63,8 @@ def lexicon(rows: list[tuple[list[str], int]], odds: float = 4.5, clean: float =
         met.add((least, y))
         total[y] += 1
         seen[y].update({f for w in set(words) for f in features(w)[:-1]})
-    few = min(8, max(3, total[1] // 150))
-    return {f for f, n in seen[1].items() if n >= few and seen[0][f] <= clean * total[0] and math.log((n + 0.5) / (total[1] + 1)) - math.log((seen[0][f] + 0.5) / (total[0] + 1)) > odds - (total[0] < 1000)}
+    share, most = total[1] / (total[0] + total[1]), -math.log(max(1, len(seen[1])))
+    return {f for f, n in seen[1].items() if seen[0][f] <= clean * total[0] and by_chance(n, seen[0][f], share) < most}
 
 
 def marginals(score, lengths, moves):

@@ -147,6 +147,19 @@ def test_toxicity_held_out(spark):
     assert all(r["toxic_score"] == 0 for r in toxicity.score(frame(spark, ODD), None).collect())
 
 
+@pytest.mark.parametrize("size", [900, 1500])
+def test_toxic_lexicon_of_rare_words(size):
+    """Words in 2 % of toxic documents are found whatever the size; labels dealt by chance tell next to nothing."""
+    r = random.Random(size)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    plain, bad = [word() for _ in range(2000)], [word() for _ in range(50)]
+    rows = [(r.choices(plain, k=40) + ([bad[k % 50]] if y else []), y) for y in (0, 1) for k in range(size)]
+    found = toxicity.lexicon(rows)
+    assert {"=" + w for w in bad} <= found and sum(f[1:] in plain for f in found) <= 2
+    assert len(toxicity.lexicon([(w, r.randrange(2)) for w, y in rows if not y])) <= 2
+    assert np.isclose(np.exp(toxicity.by_chance(3, 1, 0.3)), 4 * 0.3**3 * 0.7 + 0.3**4)
+
+
 def test_marginals_match_enumeration():
     score, moves = np.array([0.3, -1.0, 2.0]), [[1.4, 0.6], [0.7, 0.9]]
     total, each = 0.0, np.zeros(3)
