@@ -150,8 +150,8 @@ def summary(p, lengths):
 
 
 def train(rows: list[tuple[str, int]], most: int = 1000, turns: int = 25, longest: int = 1500) -> Model | None:
-    """Trains on ``rows`` of text and label; the chain on at most ``most`` documents of at most
-    ``longest`` words, half of them toxic."""
+    """Trains on ``rows`` of text and label; the chain on the first ``most`` documents, half of them toxic, those of
+    more than ``longest`` words in windows of so many, one after another."""
     import numpy as np
 
     told = [(WORD.findall((t or "").lower()), y) for t, y in rows]
@@ -165,7 +165,7 @@ def train(rows: list[tuple[str, int]], most: int = 1000, turns: int = 25, longes
             toxic[w] = any(f in known for f in features(w)[:-1])
         return toxic[w]
 
-    used = [x for y in (0, 1) for x in [x for x in told if x[1] == y and 0 < len(x[0]) <= longest][: most // 2]]
+    used = [(x[i : i + longest], label) for y in (0, 1) for x, label in [x for x in told if x[1] == y and x[0]][: most // 2] for i in range(0, len(x), longest)]
     lengths = np.array([len(x) for x, _ in used])
     words = [w for x, _ in used for w in x]
     y = np.array([bool(label) and is_toxic(w) for x, label in used for w in x], float)

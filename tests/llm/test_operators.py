@@ -160,6 +160,15 @@ def test_toxic_lexicon_of_rare_words(size):
     assert np.isclose(np.exp(toxicity.by_chance(3, 1, 0.3)), 4 * 0.3**3 * 0.7 + 0.3**4)
 
 
+def test_toxicity_learns_from_long_documents():
+    r = random.Random(5)
+    plain = [f"plain{k}" for k in range(300)]
+    text = lambda bad: " ".join([*r.choices(plain, k=60), *(["vilest", "slur"] if bad else []), *r.choices(plain, k=60)])
+    model = toxicity.train([(text(y), y) for y in (0, 1) for _ in range(40)], longest=50, turns=10)
+    p, _ = model.probabilities([["plain1", "vilest", "slur", "plain2"]])
+    assert p[1] > 0.5 > p[0] and p[2] > 0.5 > p[3]
+
+
 def test_marginals_match_enumeration():
     score, moves = np.array([0.3, -1.0, 2.0]), [[1.4, 0.6], [0.7, 0.9]]
     total, each = 0.0, np.zeros(3)
