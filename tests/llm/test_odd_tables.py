@@ -94,3 +94,16 @@ def test_odd_stages(spark, odd):
         assert got.columns == columns and all(r["score"] == "own" for r in got.collect()), name
     ids = [r["doc_id"] for r in corpus_pipeline.keep_distinct(spark, docs, f"{odd}/odd").collect()]
     assert ids.count(0) == 1 and 1 not in ids and {2, 3, 50, 51} <= set(ids) and ids.count(None) == 2
+
+
+def test_one_id_two_texts(spark):
+    """Two texts of one doc_id, near copies of different documents: each group keeps one row, and unique texts stay."""
+    import corpus_pipeline
+    from burrow.llm import jaccard
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(5, a + " own"), (5, b + " own"), (3, a), (9, b), (7, c), (7, a + " end"), (8, b + " x"), (8, b + " y"), (None, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "cast(null as string) lang", "cast(null as string) source")
+    assert sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.keep_distinct(spark, docs, "").where("doc_id is not null").collect()) == [(3, a), (5, b + " own"), (7, c)]
+    got = sorted((r["doc_id"] or -1, r["component_id"]) for r in jaccard.jaccard_components(spark, docs).collect())
+    assert got == [(-1, 7), (3, 3), (5, 3), (5, 5), (7, 3), (7, 7), (8, 5), (8, 5), (9, 5)]
