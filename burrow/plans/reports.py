@@ -55,7 +55,7 @@ def explore_area(e: Engine, path: str) -> str:
 def onboard(e: Engine) -> str:
     status = lookup.index_status(e.meta).first()
     by_kind = e.packages.groupBy("kind").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("name")).alias("names")).orderBy("kind").collect()
-    extensions = e.files.where("extension <> ''").groupBy("extension").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "extension").limit(20).collect()
+    extensions = e.files.where("extension <> ''").groupBy("extension").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "extension").collect()
     out = ["# Onboarding", "", f"{status['package_count']} packages, {status['symbol_count']} symbols, {status['file_count']} files, indexed at {status['indexed_at']}", ""]
     for k in by_kind:
         out += [f"## {k['kind']} ({k['n']})", "", _bullets(k["names"], str), ""]

@@ -66,3 +66,14 @@ def test_watch_coalesces(spark, root):
     assert len(calls) == 1
     assert watch.hook('{"tool_name":"Bash","tool_input":{"command":"ls"}}') == (False, [])
     assert watch.hook("not json") == (True, [])
+
+
+def test_onboard_lists_all_extensions(spark):
+    from types import SimpleNamespace
+
+    from burrow.plans import reports
+
+    meta = spark.createDataFrame([(k, "1") for k in ("package_count", "symbol_count", "file_count", "indexed_at", "git_commit", "total_duration_ms")], "key string, value string")
+    files = spark.createDataFrame([(f"x{k}",) for k in range(25)], "extension string")
+    text = reports.onboard(SimpleNamespace(meta=meta, files=files, packages=spark.createDataFrame([("p", "go")], "name string, kind string")))
+    assert all(f".x{k}: 1" in text for k in range(25))
