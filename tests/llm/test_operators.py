@@ -32,12 +32,84 @@ def test_preference_cases(spark):
     assert got[3]["chosen"] == "" and got[3]["n_prefix"] == 1 and got[3]["rejected_mask"]
 
 
-def test_tiling_catches_reordered_passages():
+def test_tiling_catches_reordered_passages(spark):
     item = [f"w{i}" for i in range(30)]
-    block = tiling.Items([(1, " ".join(item)), (2, "too short"), (3, None)])
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "too short"), (3, None)], "item_id long, text string")
     turned = " ".join([*item[15:], "noise", "noise", *item[:15]])
-    assert block.match(turned, 0.8) == [(1, 30, 30, 2)]
-    assert block.match(" ".join(item[:20]), 0.8) == [] and block.match("", 0.8) == []
+    got = tiling.contaminated(frame(spark, [turned, " ".join(item[:20]), ""]), bench).collect()
+    assert [tuple(r) for r in got] == [(0, 1, 30, 30, 1.0, 2)]
+
+
+def naive_tiles(doc, item, least=5):
+    """Greedy string tiling by its definition."""
+    doc, item, found = list(doc), list(item), []
+    while True:
+        best = []
+        for i in range(len(doc)):
+            for j in range(len(item)):
+                n = 0
+                while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n] and doc[i + n] is not None:
+                    n += 1
+                best.append((-n, i, j))
+        best.sort()
+        if not best or -best[0][0] < least:
+            return found
+        longest = best[0][0]
+        for n, i, j in best:
+            if n == longest and None not in doc[i : i - n] and None not in item[j : j - n]:
+                found.append((i, j, -n))
+                doc[i : i - n], item[j : j - n] = [None] * -n, [None] * -n
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_tiles_against_the_definition(seed, monkeypatch):
+    r = random.Random(seed)
+    kinds = (2, 3, 30)[seed % 3]
+    item = [r.randrange(kinds) for _ in range(r.randrange(5, 40))]
+    doc = [r.randrange(kinds) for _ in range(r.randrange(0, 60))]
+    for _ in range(2):
+        a = r.randrange(len(item))
+        doc += item[a : a + r.randrange(1, 20)]
+    arrays = [np.array(x, np.uint64) * 2 + 1 for x in (doc, item)]
+    assert tiling.tiles(*arrays) == naive_tiles(doc, item)
+    monkeypatch.setattr(tiling, "PAIRS", 0)
+    assert tiling.tiles(*arrays) == naive_tiles(doc, item)
+
+
+def test_contamination_against_brute_force(spark):
+    r = random.Random(3)
+    plain = [f"p{k}" for k in range(400)]
+    items = [r.choices(plain, k=r.randrange(4, 40)) for _ in range(25)] + [["a"] * 12, ["a", "b"] * 8]
+    docs = []
+    for _ in range(60):
+        text = r.choices(plain, k=r.randrange(60))
+        for item in r.sample(items, 2):
+            cut = r.randrange(len(item))
+            text += r.choice([item, item[cut:] + ["x"] + item[:cut], item[: cut + 5], item[: int(len(item) * 0.9)]])
+        docs.append(text + r.choices(["a", "b"], k=r.randrange(20)))
+    want = set()
+    for d, doc in enumerate(docs):
+        for i, item in enumerate(items):
+            found = naive_tiles(doc, item)
+            covered = sum(x[2] for x in found)
+            if len(item) >= 5 and covered >= 0.8 * len(item):
+                want.add((d, i, len(item), covered, covered / len(item), len(found)))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    table = frame(spark, [" ".join(x) for x in docs])
+    for small in (200_000, 0):
+        assert {tuple(x) for x in tiling.contaminated(table, bench, small=small).collect()} == want
+        kept = {x["doc_id"] for x in tiling.decontaminate(table, bench, small=small).collect()}
+        assert kept == set(range(len(docs))) - {x[0] for x in want}
+
+
+def test_tiling_of_repeated_words_is_fast():
+    import time
+
+    began = time.monotonic()
+    one = np.ones(20_000, np.uint64)
+    assert tiling.tiles(one, one[:400]) == [(0, 0, 400)]
+    assert sum(x[2] for x in tiling.tiles(np.tile(np.array([1, 3], np.uint64), 10_000), one[:400])) == 0
+    assert time.monotonic() - began < 20
 
 
 def test_tiling_frames(spark):
