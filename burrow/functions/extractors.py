@@ -28,7 +28,7 @@ def blanked(source: str, quotes: str = "\"'`", hash_comments: bool = False, raw:
                 out[k] = " "
 
     while i < n:
-        two = source[i : i + 2]
+        two = "" if hash_comments else source[i : i + 2]
         if two == "//" or hash_comments and source[i] == "#":
             end = source.find("\n", i)
             end = n if end < 0 else end
@@ -40,7 +40,7 @@ def blanked(source: str, quotes: str = "\"'`", hash_comments: bool = False, raw:
             wipe(i, end)
             i = end
         elif source[i] in quotes:
-            quote = source[i] * 3 if source[i : i + 3] == source[i] * 3 and source[i] == '"' else source[i]
+            quote = source[i] * 3 if source[i : i + 3] == source[i] * 3 and (source[i] == '"' or hash_comments) else source[i]
             if quote == "'" and raw == "rust" and not re.match(r"'(?:\\.[^']*|[^\\'])'", source[i : i + 12]):
                 i += 1
                 continue
@@ -91,6 +91,44 @@ def flat(text: str) -> str:
     return re.sub(r"\s+", " ", text).strip()
 
 
+def joined(text: str) -> str:
+    """The lines of a text, as one."""
+    return " ".join(text.splitlines()).strip()
+
+
+def head(text: str, by: str = ":=") -> tuple[str, str | None, str]:
+    """A declaration at its first character of ``by`` outside brackets: what comes before, that character, what follows."""
+    depth = 0
+    for k, c in enumerate(text):
+        if c in by and depth == 0 and not (c == ":" and ":" in (text[k + 1 : k + 2], text[k - 1 : k])) and text[k : k + 2] != "=>":
+            return text[:k].strip(), c, text[k + 1 :].strip()
+        depth += (c in "([{<") - (c in ")]}" or c == ">" and text[k - 1 : k] not in ("-", "="))
+    return text.strip(), None, ""
+
+
+def statements(clean: str, at: int, end: int, newlines: bool = False):
+    """``(start, stop)`` of the statements between two places: up to a semicolon or the end of a block outside brackets,
+    and with ``newlines`` to the end of a line that the next one doesn't go on."""
+    start, depth = None, 0
+    for k in range(at, end):
+        c = clean[k]
+        if start is None:
+            if c.isspace() or c == ";":
+                continue
+            start = k
+        depth += (c in "([{") - (c in ")]}")
+        done = depth == 0 and c in ";}"
+        if c == "}" and depth == 0 and re.match(r"\s*[,;=.)\]|&]", clean[k + 1 : end]):
+            done = False
+        if newlines and c == "\n" and depth == 0 and not re.match(r"\s*[=.{:|&?),]", clean[k + 1 : end]) and not re.search(r"[=,:|&(]\s*$", clean[max(start, k - 40) : k]):
+            done = True
+        if done:
+            yield start, k + 1
+            start = None
+    if start is not None:
+        yield start, end
+
+
 def line_of(source: str, at: int) -> int:
     return source.count("\n", 0, at) + 1
 
@@ -106,23 +144,28 @@ def depths(clean: str) -> list[int]:
 
 # TypeScript and JavaScript
 
-_EXPORT = re.compile(r"\bexport\s+(default\s+)?(?:declare\s+)?(async\s+)?(function\s*\*?|class|interface|type|enum|const\s+enum|const|let)\b\s*([\w$]*)")
-_MEMBER = re.compile(r"^\s*((?:(?:public|private|protected|static|readonly|async|override|abstract|declare|get|set)\s+)*)(\*?\s*#?[\w$]+)\s*[?!]?\s*(<[^(]*?>)?\s*([(:=;]|$)")
+_EXPORT = re.compile(r"\bexport\s+(default\s+)?(async\s+)?(function(?!\s*\*)|class|interface|type|enum|const\s+enum|const|let)\b\s*([\w$]*)")
+_DECORATORS = re.compile(r"(?:@[\w$.]+(?:\([^()]*\))?\s*)+")
+_MEMBER = re.compile(r"((?:(?:public|private|protected|static|readonly|async|override|abstract|declare|accessor|get|set)\b\s*(?![(=:;?!]))*)\*?\s*(#?[\w$]+|\[[^\]]*\]|\"[^\"]*\"|'[^']*')\s*[?!]?\s*(?:<[^(]*?>\s*)?([(:=;]?)")
 
 
 def _ts_parameters(text: str, typed: bool) -> list[dict]:
     out = []
     for p in split(text):
-        p = re.sub(r"^((public|private|protected|readonly)\s+)+", "", p)
-        m = re.match(r"([\w$]+)\??\s*(?::\s*(.*?))?\s*(=.*)?$", p, re.S)
-        if m and (typed or not m[3]):
-            kind = re.split(r"\s=\s(?!>)", m[2])[0].strip() if m[2] else None
-            out.append({"name": m[1], "type": flat(kind) if kind else None})
+        p = _DECORATORS.sub("", p)
+        p = re.sub(r"^((public|private|protected|readonly|override)\s+)+", "", p)
+        name, mark, rest = head(p)
+        if typed:
+            kind = head(rest, "=")[0] if mark == ":" else None
+            out.append({"name": name.rstrip("? "), "type": kind or None})
+        elif mark is None and re.fullmatch(r"[\w$]+", name):
+            out.append({"name": name, "type": None})
     return out
 
 
-def _ts_callable(source: str, clean: str, at: int) -> tuple[str, str | None, int] | None:
-    """Parameters' text, return type and the place where the head ends, from the bracket at or after ``at``."""
+def _ts_callable(source: str, clean: str, at: int) -> tuple[str, str | None, int, int] | None:
+    """Parameters' text, return type, and the places where the parameters and the head end, from the bracket at or after
+    ``at``."""
     start = clean.find("(", at)
     if start < 0:
         return None
@@ -144,8 +187,9 @@ def _ts_callable(source: str, clean: str, at: int) -> tuple[str, str | None, int
             elif c in ";\n" and depth == 0 and (c == ";" or clean[m.end() : k].strip()):
                 break
             k += 1
-        returns, stop = flat(source[m.end() : k]) or None, k
-    return source[start + 1 : end - 1], returns, stop
+        returns = source[m.end() : k].strip() or None
+        stop = m.end() + len(source[m.end() : k].rstrip())
+    return source[start + 1 : end - 1], returns, end, stop
 
 
 def typescript(source: str, typed: bool = True) -> list[dict]:
@@ -154,56 +198,51 @@ def typescript(source: str, typed: bool = True) -> list[dict]:
     for m in _EXPORT.finditer(clean):
         if depth[m.start()] != 0:
             continue
-        default, keyword, name = m[1], m[3].split()[0].rstrip("*"), m[4]
-        line = line_of(source, m.start())
-        if keyword == "const" and "enum" in m[3]:
-            keyword = "enum"
-        head_end = clean.find("{", m.end())
+        default, keyword, name = m[1], "enum" if "enum" in m[3] else m[3], m[4]
+        start = m.start(2) if m[2] else m.start(3)
+        line = line_of(source, start)
+        brace = clean.find("{", m.end())
         if keyword == "function" and name:
             found = _ts_callable(source, clean, m.end())
             if found:
-                start = clean.index("function", m.start())
-                out.append(row(name, "function", flat(("async " if m[2] else "") + source[start : found[2]]), line, None, found[1], _ts_parameters(found[0], typed)))
+                out.append(row(name, "function", joined(source[start : found[3]]), line, None, found[1], _ts_parameters(found[0], typed)))
         elif keyword == "class" and name:
-            out.append(row(name, "class", flat(source[m.start() : head_end if head_end > 0 else len(source)]), line))
-            if head_end > 0:
-                out += _ts_members(source, clean, depth, head_end, name, typed)
-        elif default:
-            continue
-        elif keyword in ("interface", "enum") and name:
-            out.append(row(name, keyword, flat(source[m.start() : head_end if head_end > 0 else len(source)]), line))
-        elif keyword == "type" and name:
-            out.append(row(name, "type", source[m.start() :].split("\n")[0].strip(), line))
-        elif keyword in ("const", "let"):
-            first = source[m.start() :].split("\n")[0].strip()
-            end = next((k for k in range(m.start(), len(clean)) if clean[k] == ";" and depth[k] == 0), len(clean))
-            for part in split(clean[m.start(4) : end]):
-                d = re.match(r"([\w$]+)", part)
-                if d and re.match(r"[\w$]+\s*[?!]?\s*(:|=|$)", part):
-                    out.append(row(d[1], "constant", first, line))
-                if "\n" in part:
-                    break
+            out.append(row(name, "class", f"class {name}", line))
+            if brace > 0:
+                out += _ts_members(source, clean, brace, name, typed)
+        elif keyword == "interface" and name or keyword == "enum" and name and not default:
+            out.append(row(name, keyword, f"{keyword} {name}", line))
+        elif keyword == "type" and name and not default:
+            out.append(row(name, "type", source[start:].split("\n")[0].rstrip(), line))
+        elif keyword in ("const", "let") and not default:
+            end = next(statements(clean, start, len(clean), newlines=True))[1]
+            first, at = source[start:end].split("\n")[0].rstrip(), m.end(3)
+            for part in split(clean[at:end].rstrip().rstrip(";")):
+                at = clean.index(part, at)
+                own = head(source[at : at + len(part)])[0].rstrip("!")
+                if own:
+                    out.append(row(own, "constant", first, line_of(source, at)))
+                at += len(part)
     return out
 
 
-def _ts_members(source, clean, depth, brace, parent, typed) -> list[dict]:
-    out, end, inner = [], closing(clean, brace), depth[brace] + 1
-    at, round_ = brace + 1, 0
-    while at < end:
-        stop = clean.find("\n", at)
-        stop = end if stop < 0 else min(stop, end)
-        m = _MEMBER.match(clean[at:stop])
-        if m and depth[at] == inner and round_ == 0 and not re.match(r"\s*(if|for|while|switch|return|case)\b", clean[at:stop]):
-            name, words = m[2].lstrip("* "), m[1].split()
-            if name and not name.startswith("#") and not {"private", "protected"} & set(words):
-                found = _ts_callable(source, clean, at + m.start(2)) if m[4] == "(" else None
-                line = line_of(source, at)
-                if found:
-                    out.append(row(name, "method", flat(source[at + m.start(2) : found[2]]), line, parent, found[1], _ts_parameters(found[0], typed)))
-                else:
-                    out.append(row(name, "method", flat(source[at + m.start(2) : stop]).rstrip(";"), line, parent, None, []))
-        round_ += clean.count("(", at, stop) - clean.count(")", at, stop)
-        at = stop + 1
+def _ts_members(source, clean, brace, parent, typed) -> list[dict]:
+    """Methods with a body, and in TypeScript fields, which read as methods without parameters."""
+    out, end = [], closing(clean, brace) - 1
+    for start, stop in statements(clean, brace + 1, end, newlines=True):
+        decorated = _DECORATORS.match(clean, start, stop)
+        at = decorated.end() if decorated else start
+        m = _MEMBER.match(source, at, stop)
+        if not m or m[2][0] == "#" or {"private", "protected"} & set(m[1].split()):
+            continue
+        name, line = m[2], line_of(source, at)
+        if m[3] == "(":
+            found = _ts_callable(source, clean, m.start(3))
+            if clean[found[3] : stop].lstrip().startswith("{"):
+                text = source[clean.index("(", m.start(3)) : found[2]]
+                out.append(row(name, "method", f"{name}{text}" + (f": {found[1]}" if found[1] else ""), line, parent, found[1], _ts_parameters(found[0], typed)))
+        elif typed and clean[at : at + 1] != "{" and m[1].strip() != "static" or typed and m[3] in ("=", ":", ";"):
+            out.append(row(name, "method", f"{name}()", line_of(source, start), parent, None, []))
     return out
 
 
@@ -213,9 +252,12 @@ def javascript(source: str) -> list[dict]:
 
 # Go
 
-_GO_FUNC = re.compile(r"^func\s*(\(\s*(?:\w+\s+)?(\*?)\s*(\w+)[^)]*\))?\s*(\w+)\s*(?:\[[^\]]*\])?\s*\(", re.M)
+_GO_FUNC = re.compile(r"^func\s*(\(\s*(?:\w+\s+)?(\*?)\s*(\w+(?:\[[^\]]*\])?)[^)]*\))?\s*(\w+)\s*(?:\[[^\]]*\])?\s*\(", re.M)
 _GO_TYPE = re.compile(r"^(?:type\s+|\t)(\w+)(?:\[[^\]=]*\])?\s+(struct\b|interface\b|[^\s=(][^\n]*)", re.M)
 
+# How a type that is neither struct nor interface reads in a signature, by how it begins.
+_GO_KINDS = ((r"func\b", "function"), (r"map\[", "map"), (r"\[\]", "slice"), (r"\[", "array"), (r"\*", "pointer"), (r"chan\b|<-", "channel"), (r"\(", "parenthesized"), (r"\w+\.\w", "qualified"), (r"\w+\[", "generic"), ("", "type_identifier"))
+
 
 def go(source: str) -> list[dict]:
     clean, out = blanked(source), []
@@ -230,14 +272,14 @@ def go(source: str) -> list[dict]:
         stop = min(x for x in (body, newline, len(clean)) if x >= 0)
         returns = source[end:stop].strip() or None
         parameters = [{"name": p[0], "type": p[1]} for p in _go_groups(source[m.end() : end - 1])]
-        out.append(row(name, "method" if m[1] else "function", flat(source[m.start() : stop]), line_of(source, m.start()), m[3] if m[1] else None, returns, parameters))
+        out.append(row(name, "method" if m[1] else "function", source[m.start() : stop].strip(), line_of(source, m.start()), m[3] if m[1] else None, returns, parameters))
     grouped = [(m.end(), closing(clean, m.end() - 1, "()")) for m in re.finditer(r"^type\s*\(", clean, re.M)]
     for m in _GO_TYPE.finditer(clean):
         inside = any(a <= m.start() < b for a, b in grouped)
         if depth[m.start()] or not m[1][0].isupper() or not (m[0].startswith("type") or inside):
             continue
         kind = m[2].strip() if m[2].strip() in ("struct", "interface") else "type"
-        text = f"type {m[1]} {kind if kind != 'type' else flat(source[m.start(2) : m.end(2)])}"
+        text = f"type {m[1]} {kind if kind != 'type' else next(k for x, k in _GO_KINDS if re.match(x, m[2]))}"
         out.append(row(m[1], kind, text, line_of(source, m.start())))
     return sorted(out, key=lambda r: r["line"])
 
@@ -274,60 +316,73 @@ def rust(source: str) -> list[dict]:
         owner = next((o for a, b, o in owners if a < m.start() < b), None)
         if depth[m.start()] != (1 if owner else 0) or owner and kind != "fn":
             continue
-        if kind == "fn":
-            start = clean.find("(", m.end())
-            end = closing(clean, start, "()")
-            stop = min(x for x in (clean.find("{", end), clean.find(";", end), len(clean)) if x >= 0)
-            arrow = re.match(r"\s*->\s*(.*?)\s*(?:\bwhere\b.*)?$", source[end:stop], re.S)
-            parameters = []
-            for p in split(source[start + 1 : end - 1]):
-                part = re.match(r"(?:mut\s+)?(\w+)\s*:\s*(.*)", p, re.S)
-                if part and part[1] != "self":
-                    parameters.append({"name": part[1], "type": flat(part[2])})
-            out.append(row(name, "method" if owner else "function", flat(source[m.start() : min(stop, end + 200)]), line, owner, flat(arrow[1]) if arrow else None, parameters))
-        else:
-            stop = min(x for x in (clean.find("{", m.end()), clean.find(";", m.end()), clean.find("(", m.end()), len(clean)) if x >= 0)
-            out.append(row(name, kind, flat(source[m.start() : stop]), line))
+        if kind != "fn":
+            out.append(row(name, kind, f"pub {kind} {name}", line))
+            continue
+        start = clean.find("(", m.end())
+        end = closing(clean, start, "()")
+        stop = min(x for x in (clean.find("{", end), clean.find(";", end), len(clean)) if x >= 0)
+        arrow = re.match(r"\s*->\s*(.*?)\s*(?:\bwhere\b.*)?$", source[end:stop], re.S)
+        parameters = []
+        for p in split(source[start + 1 : end - 1]):
+            own, mark, told = head(re.sub(r"^(#\[[^\]]*\]\s*)*(mut\s+)?", "", p), ":")
+            if mark and own != "self":
+                parameters.append({"name": own, "type": told})
+        last = end + arrow.end(1) if arrow else end
+        out.append(row(name, "method" if owner else "function", source[m.start() : min(stop, last + 200)].strip(), line, owner, arrow[1] if arrow else None, parameters))
     return out
 
 
 # Python
 
 def python(source: str) -> list[dict]:
+    """Top-level functions and classes with their methods. Where a file can't be parsed as a whole, its top-level blocks
+    are parsed one by one, and those that can't are left out."""
+    lines = source.splitlines(keepends=True)
     try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError):
-        lines = source.splitlines()
-        for n in range(len(lines), 0, -1):
+        blocks = [(0, ast.parse(source))]
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        starts = [k for k, x in enumerate(lines) if re.match(r"(?:async\s+def|def|class)\b", x)]
+        blocks = []
+        for a, b in zip(starts, [*starts[1:], len(lines)], strict=False):
+            if next((x for x in reversed(lines[:a]) if x.strip()), "").startswith("@"):
+                continue
+            while b > a + 1 and not (lines[b - 1].strip() and lines[b - 1][0].isspace()):
+                b -= 1
             try:
-                tree = ast.parse("\n".join(lines[:n]))
-                break
-            except (SyntaxError, ValueError):
+                blocks.append((a, ast.parse("".join(lines[a:b]))))
+            except (SyntaxError, ValueError, RecursionError, MemoryError):
                 continue
-        else:
-            return []
+    clean = blanked(source, "\"'", hash_comments=True)
+    begins = [0]
+    for x in lines:
+        begins.append(begins[-1] + len(x))
     out: list[dict] = []
-    text = lambda node: None if node is None else flat(ast.get_source_segment(source, node) or ast.unparse(node))
 
-    def function(node, parent=None):
+    def place(line, column):
+        return begins[line - 1] + len(lines[line - 1].encode()[:column].decode("utf-8", "ignore"))
+
+    def function(node, shift, parent=None):
+        text = lambda x: None if x is None else source[place(x.lineno + shift, x.col_offset) : place(x.end_lineno + shift, x.end_col_offset)]
         a = node.args
-        plain = [*a.posonlyargs, *a.args, *a.kwonlyargs]
-        parameters = [{"name": x.arg, "type": text(x.annotation)} for x in plain if not (parent and x.arg == "self")]
-        head = re.sub(r"\s*:\s*$", "", flat("\n".join(source.splitlines()[node.lineno - 1 : node.body[0].lineno]).split(":\n")[0]))
-        inner = ast.unparse(a)
-        head = f"def {node.name}({inner})" + (f" -> {text(node.returns)}" if node.returns else "") if head else head
-        return row(node.name, "method" if parent else "function", head, node.lineno, parent, text(node.returns), parameters)
-
-    for node in tree.body:
-        if getattr(node, "decorator_list", None):
-            continue
-        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
-            out.append(function(node))
-        elif isinstance(node, ast.ClassDef):
-            out.append(row(node.name, "class", f"class {node.name}", node.lineno))
-            for x in node.body:
-                if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef) and not x.decorator_list and (x.name == "__init__" or not x.name.startswith("_")):
-                    out.append(function(x, node.name))
+        given = [(x.arg, x) for x in (*a.posonlyargs, *a.args)] + [("*" + x.arg, x) for x in (a.vararg,) if x and x.annotation] + [(x.arg, x) for x in a.kwonlyargs] + [("**" + x.arg, x) for x in (a.kwarg,) if x and x.annotation]
+        parameters = [{"name": name, "type": text(x.annotation)} for name, x in given if not (parent and name == "self")]
+        start = place(node.lineno + shift, node.col_offset)
+        opened = clean.find("(", re.compile(r"(?:async\s+)?def\s+\w+\s*(?:\[[^(]*\])?").match(clean, start).end())
+        signature = f"def {node.name}{source[opened : closing(clean, opened, '()')]}" + (f" -> {text(node.returns)}" if node.returns else "")
+        return row(node.name, "method" if parent else "function", signature, node.lineno + shift, parent, text(node.returns), parameters)
+
+    for shift, tree in blocks:
+        for node in tree.body:
+            if getattr(node, "decorator_list", None):
+                continue
+            if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
+                out.append(function(node, shift))
+            elif isinstance(node, ast.ClassDef):
+                out.append(row(node.name, "class", f"class {node.name}", node.lineno + shift))
+                for x in node.body:
+                    if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef) and not x.decorator_list and (x.name == "__init__" or not x.name.startswith("_")):
+                        out.append(function(x, shift, node.name))
     return out
 
 
@@ -366,47 +421,49 @@ def proto(source: str) -> list[dict]:
 
 # Java
 
-_JAVA_TYPE = re.compile(r"((?:(?:public|protected|private|static|final|abstract|sealed|strictfp)\s+)+)(class|interface|enum)\s+(\w+)")
-_JAVA_MEMBER = re.compile(r"((?:(?:public|protected|private|static|final|abstract|synchronized|native|default|transient|volatile)\s+)+)(<[^>]*>\s*)?([\w.<>\[\],? ]+?)\s+(\w+)\s*(\(|=|;)")
+_ANNOTATED = r"(?:@(?!interface)[\w.]+(?:\s*\((?:[^()]|\([^()]*\))*\))?\s+)*"
+_JAVA_TYPE = re.compile(rf"{_ANNOTATED}((?:(?:public|protected|private|static|final|abstract|sealed|non-sealed|strictfp)\s+{_ANNOTATED})+)(class|interface|enum)\s+(\w+)")
+_JAVA_MEMBER = re.compile(rf"{_ANNOTATED}((?:(?:public|protected|private|static|final|abstract|synchronized|native|default|transient|volatile|strictfp)\s+{_ANNOTATED})+)(<[^(]*?>\s*)?([\w.<>\[\],?& ]+?)\s+(\w+)\s*(\(|=|;|,|\[)")
 
 
 def java(source: str) -> list[dict]:
     clean, out = blanked(source, "\"'"), []
     depth = depths(clean)
     for m in _JAVA_TYPE.finditer(clean):
-        words = m[1].split()
-        seen = next((v for v in ("public", "protected") if v in words), None)
+        words = set(re.findall(r"\b\w+", re.sub(r"@[\w.]+", "", m[1])))
+        seen = next((v for v in ("public", "protected") if v in words and "private" not in words), None)
         if depth[m.start()] or not seen:
             continue
         brace = clean.find("{", m.end())
         brace = len(clean) if brace < 0 else brace
-        out.append(row(m[3], m[2], flat(source[m.start() : brace]), line_of(source, m.start(1)), visibility=seen))
+        out.append(row(m[3], m[2], source[m.start() : brace].strip(), line_of(source, m.start()), visibility=seen))
         if m[2] != "class":
             continue
-        end = closing(clean, brace) if brace < len(clean) else brace
-        for x in _JAVA_MEMBER.finditer(clean, brace + 1, end):
-            marks = x[1].split()
-            own = next((v for v in ("public", "protected") if v in marks), None)
-            if depth[x.start()] != 1 or not own or x[3] in ("class", "interface", "enum"):
+        end = closing(clean, brace) - 1 if brace < len(clean) else brace
+        for start, stop in statements(clean, brace + 1, end):
+            x = _JAVA_MEMBER.match(clean, start, stop)
+            marks = set(re.findall(r"\b\w+", re.sub(r"@[\w.]+", "", x[1]))) if x else set()
+            own = next((v for v in ("public", "protected") if v in marks and "private" not in marks), None)
+            if not own or x[3].split()[0] in ("class", "interface", "enum", "record"):
                 continue
-            line = line_of(source, x.start())
+            line, told = line_of(source, start), source[x.start(3) : x.end(3)]
             if x[5] == "(":
                 close = closing(clean, x.end() - 1, "()")
-                stop = min(v for v in (clean.find("{", close), clean.find(";", close), len(clean)) if v >= 0)
+                body = clean.find("{", close, stop)
                 parameters = []
                 for p in split(source[x.end() : close - 1]):
-                    part = re.match(r"(?:@\w+(?:\([^)]*\))?\s+|final\s+)*(.+?)\s+(\w+)$", flat(p))
+                    part = re.match(r"(?:@[\w.]+(?:\([^)]*\))?\s+|final\s+)*(.+?)\s+(\w+)$", p, re.S)
                     if part and not part[1].endswith("..."):
                         parameters.append({"name": part[2], "type": part[1]})
-                out.append(row(x[4], "function" if "static" in marks else "method", flat(source[x.start() : stop]), line, m[3], flat(x[3]), parameters, own))
-            elif {"static", "final"} <= set(marks):
-                out.append(row(x[4], "constant", f"public static final {flat(x[3])} {x[4]}", line, m[3], visibility=own))
+                out.append(row(x[4], "function" if "static" in marks else "method", source[start : body if body >= 0 else stop].strip(), line, m[3], told, parameters, own))
+            elif {"static", "final"} <= marks:
+                out.append(row(x[4], "constant", f"public static final {told} {x[4]}", line, m[3], visibility=own))
     return out
 
 
 # Kotlin
 
-_KOTLIN = re.compile(r"^[ \t]*((?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|internal|protected|open|abstract|sealed|data|inner|enum|annotation|override|suspend|inline|operator|infix|tailrec|final|const|external|value)\s+)*)(class|interface|object|fun)\s+(?:<[^>]*>\s*)?(?:[\w.<>?]+\.)?(\w+)", re.M)
+_KOTLIN = re.compile(r"(?:^|(?<=[{};\n]))[ \t]*((?:@[\w.]+(?:\([^)]*\))?\s+)*(?:(?:public|private|internal|protected|open|abstract|sealed|data|inner|enum|annotation|override|suspend|inline|operator|infix|tailrec|final|const|external|value|fun(?=\s+interface))\s+)*)(class|interface|object|fun)\s+(?:<[^>]*>\s*)?(?:[\w.<>?, ]+\.)?(\w+)", re.M)
 
 
 def kotlin(source: str) -> list[dict]:
@@ -419,18 +476,20 @@ def kotlin(source: str) -> list[dict]:
         owner = next((n for a, b, n in types if a < m.start(2) < b), None)
         if depth[m.start(2)] != (1 if owner else 0) or {"private", "internal"} & set(marks) or owner and keyword != "fun":
             continue
-        line = line_of(source, m.start(2))
+        line = line_of(source, start)
         if keyword == "fun":
             bracket = clean.find("(", m.end())
+            if bracket < 0:
+                continue
             end = closing(clean, bracket, "()")
-            stop = min(x for x in (clean.find("{", end), clean.find("=", end), clean.find("\n", end), len(clean)) if x >= 0)
-            returns = re.match(r"\s*:\s*(.+)", source[end:stop], re.S)
-            parameters = [{"name": p[1], "type": flat(p[2])} for x in split(source[bracket + 1 : end - 1]) if (p := re.match(r"(?:vararg\s+)?(\w+)\s*:\s*([^=]+)", x))]
-            out.append(row(name, "method" if owner else "function", flat(source[start:stop]), line, owner, flat(returns[1]) if returns else None, parameters))
+            stop = min(x for x in (clean.find("{", end), clean.find("=", end), clean.find("\n", end), clean.find("}", end), len(clean)) if x >= 0)
+            returns = re.match(r"\s*:\s*(.+)", re.split(r"\bwhere\b", source[end:stop])[0], re.S)
+            parameters = [{"name": p[1], "type": head(p[2], "=")[0]} for x in split(source[bracket + 1 : end - 1]) if (p := re.match(r"(?:@\w+\s+)*(?:(?:vararg|noinline|crossinline)\s+)*(\w+)\s*:\s*(.+)", x, re.S))]
+            out.append(row(name, "method" if owner else "function", source[start:stop].strip(), line, owner, returns[1].strip() if returns else None, parameters))
             continue
         brace = next((k for k in range(m.end(), len(clean)) if clean[k] in "{\n" and clean.count("(", m.end(), k) == clean.count(")", m.end(), k)), len(clean))
         kind = "enum" if "enum" in marks else "interface" if keyword == "interface" else "class"
-        out.append(row(name, kind, flat(source[start:brace]), line))
+        out.append(row(name, kind, f"{'enum class' if kind == 'enum' else keyword} {name}", line))
         if clean[brace : brace + 1] == "{":
             types.append((brace, closing(clean, brace), name))
     return out

@@ -49,12 +49,13 @@ class Corpus:
         return ownership.assign_owner(self.files_raw(), self.packages())
 
     def edges(self) -> DataFrame:
+        """A part depends on the next part of its order, and on the supplier, a package outside; every line counts."""
         order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_extendedprice", "l_shipdate")
-        lines = self.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linenumber", "l_extendedprice", "l_shipdate").where("l_orderkey % 7 in (0, 1)").withColumn("nxt", F.lead("l_partkey").over(order))
+        lines = self.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linenumber", "l_extendedprice", "l_shipdate").withColumn("nxt", F.lead("l_partkey").over(order))
         kind = F.when(F.col("l_returnflag") == "A", "dev").when(F.col("l_returnflag") == "R", "peer").otherwise("runtime")
         name = F.concat(F.lit("part-"), "l_partkey")
-        inner = lines.where("nxt is not null and l_orderkey % 7 = 0").select(name.alias("package"), F.concat(F.lit("part-"), "nxt").alias("dependency"), kind.alias("dep_kind"), F.col("l_linenumber").alias("v"))
-        outer = lines.where("l_orderkey % 7 = 1").select(name.alias("package"), F.concat(F.lit("ext-"), "l_suppkey").alias("dependency"), F.lit("runtime").alias("dep_kind"), F.col("l_linenumber").alias("v"))
+        inner = lines.where("nxt is not null").select(name.alias("package"), F.concat(F.lit("part-"), "nxt").alias("dependency"), kind.alias("dep_kind"), F.col("l_linenumber").alias("v"))
+        outer = lines.select(name.alias("package"), F.concat(F.lit("ext-"), "l_suppkey").alias("dependency"), F.lit("runtime").alias("dep_kind"), F.col("l_linenumber").alias("v"))
         return inner.unionByName(outer).groupBy("package", "dependency", "dep_kind").agg(F.concat(F.lit("^"), F.max("v")).alias("version_req"))
 
     def dependencies(self) -> DataFrame:
@@ -86,8 +87,8 @@ files AS (SELECT f.path, (SELECT p.name FROM packages p WHERE p.kind IN ('site',
 l AS (SELECT l_orderkey,l_partkey,l_suppkey,l_returnflag,l_linenumber, lead(l_partkey) OVER (PARTITION BY l_orderkey
   ORDER BY l_linenumber,l_partkey,l_suppkey,l_returnflag,l_extendedprice,l_shipdate) AS nxt FROM lineitem),
 e AS (SELECT concat('part-',l_partkey) AS package, concat('part-',nxt) AS dependency,
-  CASE l_returnflag WHEN 'A' THEN 'dev' WHEN 'R' THEN 'peer' ELSE 'runtime' END AS dep_kind, l_linenumber AS v FROM l WHERE nxt IS NOT NULL AND l_orderkey%7=0
-  UNION ALL SELECT concat('part-',l_partkey), concat('ext-',l_suppkey), 'runtime', l_linenumber FROM l WHERE l_orderkey%7=1),
+  CASE l_returnflag WHEN 'A' THEN 'dev' WHEN 'R' THEN 'peer' ELSE 'runtime' END AS dep_kind, l_linenumber AS v FROM l WHERE nxt IS NOT NULL
+  UNION ALL SELECT concat('part-',l_partkey), concat('ext-',l_suppkey), 'runtime', l_linenumber FROM l),
 edges AS (SELECT package,dependency,dep_kind,concat('^',max(v)) AS version_req FROM e GROUP BY package,dependency,dep_kind),
 dependencies AS (SELECT edges.*, dependency IN (SELECT name FROM packages) OR dependency IN (SELECT description FROM packages WHERE kind='go' AND description IS NOT NULL) AS is_internal FROM edges),
 symbols AS (SELECT source AS package, regexp_extract(ln,'^([^ .,]+)',1) AS name, lang AS kind, ln AS signature, concat('docs/',source,'/',doc_id,'.txt') AS file_path, CAST(pos AS BIGINT) AS line

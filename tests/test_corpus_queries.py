@@ -3,7 +3,9 @@
 import duckdb
 import pytest
 
-from burrow.plans.corpus_queries import ORACLE_SQL, QUERIES
+from burrow.plans import corpus_queries, golden
+
+QUERIES, ORACLE_SQL = corpus_queries.QUERIES | golden.QUERIES, corpus_queries.ORACLE_SQL | golden.ORACLE_SQL
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
