@@ -41,12 +41,24 @@ def search_packages(packages: DataFrame, query: str) -> DataFrame:
     return packages.where(matches(["name", "description", "path"], query)).orderBy("name").limit(LIMITS["packages"])
 
 
-def search_symbols(symbols: DataFrame, query: str, package: str | None = None, kind: str | None = None) -> DataFrame:
+SYMBOL_KEY, SYMBOL_COLUMNS = ["file_path", "line", "name"], ["name", "kind", "signature", "file_path"]
+
+
+def stored_postings(symbols: DataFrame) -> DataFrame:
+    """Distinct words of each symbol, ordered by word, so that a search for a word reads few row groups."""
+    found = postings(symbols, SYMBOL_KEY, SYMBOL_COLUMNS).select("token", *SYMBOL_KEY).distinct()
+    return found.repartitionByRange("token", *SYMBOL_KEY).sortWithinPartitions("token")
+
+
+def search_symbols(symbols: DataFrame, query: str, package: str | None = None, kind: str | None = None, index: DataFrame | None = None) -> DataFrame:
+    """Symbols with the phrase. ``index``: their stored postings; only symbols with all its words are then looked at."""
+    if index is not None and phrase(query) is not None:
+        symbols = symbols.join(postings_candidates(index, SYMBOL_KEY, query), SYMBOL_KEY, "left_semi")
     if package is not None:
         symbols = symbols.where(F.col("package") == package)
     if kind is not None:
         symbols = symbols.where(F.col("kind") == kind)
-    return symbols.where(matches(["name", "kind", "signature", "file_path"], query)).orderBy("file_path", "line", "name").limit(LIMITS["symbols"])
+    return symbols.where(matches(SYMBOL_COLUMNS, query)).orderBy("file_path", "line", "name").limit(LIMITS["symbols"])
 
 
 def search_files(files: DataFrame, query: str, package: str | None = None, extension: str | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ class Engine:
             raise FileNotFoundError(f"no index at {path}; run build first")
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in ("packages", "dependencies", "symbols", "files", "meta", "failures", "source_hashes", "manifest_hashes"):
+        if name in ("packages", "dependencies", "symbols", "symbol_postings", "files", "meta", "failures", "source_hashes", "manifest_hashes"):
             return self.store.table(name)
         raise AttributeError(name)
 
@@ -42,7 +42,7 @@ class Tools:
         return _json(search.search_packages(self.e.packages, query)) if query.strip() else EMPTY
 
     def search_symbols(self, query: str, package: str | None = None, kind: str | None = None) -> str:
-        return _json(search.search_symbols(self.e.symbols, query, package, kind)) if query.strip() else EMPTY
+        return _json(search.search_symbols(self.e.symbols, query, package, kind, self.e.symbol_postings)) if query.strip() else EMPTY
 
     def search_files(self, query: str, package: str | None = None, extension: str | None = None) -> str:
         return _json(search.search_files(self.e.files, query, package, extension)) if query.strip() else EMPTY

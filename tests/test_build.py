@@ -5,6 +5,7 @@ import json
 import pytest
 
 from burrow.plans import build, reports, tools
+from burrow.plans.store import Store
 from burrow.streaming import watch
 
 
@@ -31,7 +32,7 @@ def names(df, column="name"):
 
 
 def test_first_build_then_edits(spark, root):
-    db = str(root / "index")
+    db = str(root.parent / "index")
     first = build.build(spark, str(root), db)
     e = tools.Engine(spark, db)
     assert names(e.packages) == ["auth", "hybrid", "types"]
@@ -49,8 +50,15 @@ def test_first_build_then_edits(spark, root):
     second = build.build(spark, str(root), db)
     assert second.refreshed == 1 and names(tools.Engine(spark, db).symbols) == ["MORE", "login"]
     assert second.states["removed"] == 1
-    whole = build.build(spark, str(root), str(root / "other"))
-    assert (whole.packages, whole.symbols, whole.files - second.files) == (second.packages, second.symbols, len(list((root / "index").rglob("*")) and []) + whole.files - second.files)
+    whole = build.build(spark, str(root), str(root.parent / "other"))
+    assert (whole.packages, whole.symbols) == (second.packages, second.symbols)
+    for table in ("packages", "dependencies", "symbols", "symbol_postings", "manifest_hashes", "failures"):
+        one, two = ({tuple(map(str, r)) for r in Store(spark, at).table(table).collect()} for at in (db, str(root.parent / "other")))
+        assert one == two, table
+    third = build.build(spark, str(root), db)
+    assert third.refreshed == 0 and Store(spark, db).versions()[0]["symbols"] == Store(spark, db).versions()[1]["symbols"]
+    t = tools.Tools(tools.Engine(spark, db))
+    assert [x["name"] for x in json.loads(t.search_symbols("export const more"))] == [] and [x["name"] for x in json.loads(t.search_symbols("const more"))] == ["MORE"]
 
 
 def test_watch_coalesces(spark, root):
@@ -77,3 +85,13 @@ def test_onboard_lists_all_extensions(spark):
     files = spark.createDataFrame([(f"x{k}",) for k in range(25)], "extension string")
     text = reports.onboard(SimpleNamespace(meta=meta, files=files, packages=spark.createDataFrame([("p", "go")], "name string, kind string")))
     assert all(f".x{k}: 1" in text for k in range(25))
+
+
+def test_rule_extensions_and_unknown_overrides(spark, tmp_path):
+    for path, text in {"svc/a/owner.yml": "", "svc/a/main.go": "package a\nfunc Run() {}\n", "svc/a/tool.py": "def run(): pass\n", "svc/a/logo.bin": "\x00"}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    (tmp_path / "burrow.toml").write_text('[[discovery.custom]]\nname = "svc"\nkind = "service"\nrequires = ["owner.yml"]\nextensions = ["go"]\n[[packages]]\nname = "svc/a"\ndescription = "Own"\n[[packages]]\nname = "lost"\ndescription = "x"\n')
+    report = build.build(spark, str(tmp_path), str(tmp_path.parent / f"{tmp_path.name}-index"))
+    e = tools.Engine(spark, str(tmp_path.parent / f"{tmp_path.name}-index"))
+    assert names(e.symbols) == ["Run"] and [r["description"] for r in e.packages.collect()] == ["Own"] and report.unknown_overrides == ["lost"]
