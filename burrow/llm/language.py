@@ -7,7 +7,10 @@ relative to the prototypes' mean direction, which all languages share.
 
 Letters are lower-cased; every run of other characters counts as one space. Texts that are null or have no letter are
 ``und`` with score 0. Where two languages come equally near, the first by name is taken. With no training rows, or
-none with letters, every text is ``und``.
+none with letters, every text is ``und``. Texts above CUT characters are bundled in pieces, cut at a space where there
+is one; a longer run of letters counts as several words. Trigrams are bound and bundled KINDS at a time, so memory does
+not grow with the variety of letters. Repeated rows each count and are each judged; an empty table gives an empty one;
+extra columns are kept, but for two named like the results.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ from pyspark.sql import functions as F
 from burrow.llm.common import frugal
 
 DIM = 1000
-MEMO = 10_000
+MEMO = 40_000
+CUT, KINDS, ROWS = 1 << 19, 2048, 256
 SHARPNESS = 12.0
 _alpha = None
 _vectors: dict = {}
@@ -71,31 +75,52 @@ def trigram_vectors(packed):
     out = None
     for place, shift in enumerate((42, 21, 0)):
         codes, at = np.unique((packed >> shift) & 0x1FFFFF, return_inverse=True)
-        table = np.stack([np.roll(letter_vector(int(c)), 2 - place) for c in codes])
+        table = np.roll(np.stack([letter_vector(c) for c in codes.tolist()]), 2 - place, axis=1)
         out = table[at] if out is None else out * table[at]
     return out.astype(np.float32)
 
 
+def cut(text: str):
+    """Pieces of a text of about CUT characters."""
+    at = 0
+    while len(text) - at > CUT:
+        end = text.rfind(" ", at + 1, at + CUT)
+        end = end if end > 0 else at + CUT
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 def bundles(texts: list[str], group=None, groups: int = 0):
     """Bundled vectors of the texts, or of groups of texts."""
     import numpy as np
 
-    owner, packed = trigrams(texts)
     n = groups or len(texts)
-    owner = np.asarray(group)[owner] if group is not None else owner
-    if not len(packed):
-        return np.zeros((n, DIM), np.float32)
-    kinds, kind = np.unique(packed, return_inverse=True)
-    counts = np.bincount(owner * len(kinds) + kind, minlength=n * len(kinds)).reshape(n, len(kinds))
-    return counts.astype(np.float32) @ trigram_vectors(kinds)
+    out = np.zeros((n, DIM))
+    places = np.arange(n) if group is None else np.asarray(group)
+    short = [k for k, t in enumerate(texts) if len(t) <= CUT]
+    parts = [([texts[k] for k in short], places[short])] + [([piece], places[[k]]) for k, t in enumerate(texts) if len(t) > CUT for piece in cut(t)]
+    for some, at in parts:
+        owner, packed = trigrams(some) if some else (places[:0], places[:0])
+        if not len(packed):
+            continue
+        kinds, kind = np.unique(packed, return_inverse=True)
+        cell, count = np.unique(kind * n + at[owner], return_counts=True)
+        edges = np.searchsorted(cell, np.arange(0, len(kinds) + KINDS, KINDS) * n)
+        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            own = kinds[k * KINDS : (k + 1) * KINDS]
+            counts = np.zeros((n, len(own)), np.float32)
+            counts[cell[a:b] % n, cell[a:b] // n - k * KINDS] = count[a:b]
+            out += counts @ trigram_vectors(own)
+    return out
 
 
 def slices(texts: list, chars: int = 1 << 17):
-    """Ranges of texts of about so many characters together."""
+    """Ranges of at most ROWS texts of about so many characters together."""
     start, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t or "")
-        if size > chars:
+        if size > chars or i + 1 - start == ROWS:
             yield start, i + 1
             start, size = i + 1, 0
     if start < len(texts):
@@ -146,7 +171,7 @@ def identify(docs: DataFrame, prototypes: dict[str, list[float]]) -> DataFrame:
         for batch in batches:
             texts, pred, score = [t or "" for t in batch.column("text").to_pylist()], [], []
             for a, b in slices(texts):
-                v = bundles(texts[a:b]).astype(np.float64)
+                v = bundles(texts[a:b])
                 norm = np.linalg.norm(v, axis=1)
                 some = norm > 0
                 if not names or not some.any():

@@ -38,8 +38,8 @@ def op5_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held_out = table(spark, sf_dir, "documents", "doc_id", "text", "lang"), F.expr("crc32(cast(doc_id as string)) % 4 = 2")
-    known = language.learn(docs.where(~held_out))
+    docs, held_out = table(spark, sf_dir, "documents", "doc_id", "text", "lang"), F.expr("coalesce(crc32(cast(doc_id as string)) % 4 = 2, false)")
+    known = language.learn(docs.where(~held_out & F.col("doc_id").isNotNull()))
     return language.identify(docs.select("doc_id", "text"), known).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
@@ -48,7 +48,7 @@ def op7_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held_out = table(spark, sf_dir, "documents", "doc_id", "text"), F.expr("crc32(cast(doc_id as string)) % 5 = 0")
+    docs, held_out = table(spark, sf_dir, "documents", "doc_id", "text"), F.expr("coalesce(crc32(cast(doc_id as string)) % 5 = 0, false)")
     model = toxicity.train(toxicity.sample(docs, table(spark, sf_dir, "labels").where(~held_out), 1500))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_spans"), F.transform("toxic_spans", lambda s: F.concat_ws("-", s["start"], s["end"])).alias("spans"))
