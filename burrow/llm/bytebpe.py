@@ -7,7 +7,9 @@ per piece, in characters, and shift by the piece's place. Decoding maps each id
 byte-to-character table; characters whose bytes are split between tokens are whole again once the bytes are joined,
 and a stream of ids is decoded incrementally without breaking them.
 
-Null texts count as empty: no ids, and the digests of the empty string.
+Null texts count as empty: no ids, and the digests of the empty string. Repeated rows, and rows without a doc_id, are
+encoded one by one; an empty table gives an empty one; extra columns are ignored. A text of any length is encoded
+whole: pieces above LONGEST characters aren't remembered, and those remembered take about MEMO_BYTES at most.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from burrow.llm.common import frugal, worker_cache
 
-MEMO = 250_000
+LONGEST, MEMO_BYTES = 64, 96 << 20
 _ODD = re.compile(r"\s\s|\A\s|\s\Z")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -64,16 +66,25 @@ class Codec:
         for token, i in vocab.items():
             self.bytes[i] = special[i].encode() if i in special else bytes(table[c] for c in token)
         self.memo: dict[str, tuple] = {}
+        self.held, self.passing = 0, []
 
     def learn(self, wanted: Iterable[str]) -> None:
-        """Looks up the ids of pieces that the memo lacks."""
-        if len(self.memo) > MEMO:
+        """Looks up the ids of pieces that the memo lacks. Long ones stay until the next call."""
+        for x in self.passing:
+            self.memo.pop(x, None)
+        self.passing = []
+        if self.held > MEMO_BYTES:
             self.memo.clear()
+            self.held = 0
         new = [*{x for x in wanted if x not in self.memo}]
         for i in range(0, len(new), 2000):
             some = new[i : i + 2000]
             for piece, found in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.memo[piece] = tuple(found.ids)
+                if len(piece) > LONGEST:
+                    self.passing.append(piece)
+                else:
+                    self.held += 150 + 4 * len(piece) + 40 * len(found.ids)
 
     def encode(self, text: str) -> list[int]:
         cut = pieces(text)
