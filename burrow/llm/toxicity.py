@@ -6,9 +6,11 @@ clean. A two-state chain with features of the word, its beginnings and its endin
 ascent of the conditional likelihood. Forward-backward marginals of every word of a text give the offending spans and,
 through a logistic curve fitted to the training documents, the document's score.
 
-With two states both passes reduce to one ratio per word, and all texts of a slice advance together. Null and empty
-texts, and texts without words, have the score of a text in which no word is toxic. Without labelled rows of both
-kinds every score is 0.
+With two states both passes reduce to one ratio per word, and all texts of a slice advance together. Words are found in
+the text as it is and lower-cased one by one, so spans are places in the text even where a lower case is longer. Null
+and empty texts, and texts without words, have the score of a text in which no word is toxic. Without labelled rows of
+both kinds every score is 0. Repeated rows, and rows without a doc_id, are scored one by one; an empty table gives an
+empty one; extra columns are kept, but for two named like the results.
 """
 
 from __future__ import annotations
@@ -20,11 +22,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
+from burrow.llm.common import frugal
+
 WORD = re.compile(r"\w+")
 BITS = 18
 MEMO = 500_000
 
 
+def words_of(text: str) -> list[str]:
+    """Words of a text in lower case, one for each match of WORD in the text itself."""
+    low = text.lower()
+    return WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
+
+
 def features(word: str) -> list[str]:
     """Names of a word's features."""
     return ["=" + word, *(f"{k}{word[:k]}" for k in (4, 5, 6) if len(word) > k), "$" + word[-3:]]
@@ -154,7 +164,7 @@ def train(rows: list[tuple[str, int]], most: int = 1000, turns: int = 25, longes
     more than ``longest`` words in windows of so many, one after another."""
     import numpy as np
 
-    told = [(WORD.findall((t or "").lower()), y) for t, y in rows]
+    told = [(words_of(t or ""), y) for t, y in rows]
     if len({y for _, y in told}) < 2:
         return None
     known = lexicon(told)
@@ -233,16 +243,16 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                     scores += [0.0] * (b - a)
                     spans += [[]] * (b - a)
                 else:
-                    words = [WORD.findall(t.lower()) for t in texts[a:b]]
+                    words = [words_of(t) for t in texts[a:b]]
                     p, n = model.probabilities(words)
                     scores += model.document(p, n).tolist()
                     at = 0
                     for t, k in zip(texts[a:b], n.tolist(), strict=True):
                         own = p[at : at + k]
                         at += k
-                        spans.append([{"start": m.start(), "end": m.end(), "p": float(q)} for m, q in zip(WORD.finditer(t.lower()), own, strict=True) if q >= 0.5] if k and own.max() >= 0.5 else [])
+                        spans.append([{"start": m.start(), "end": m.end(), "p": float(q)} for m, q in zip(WORD.finditer(t), own, strict=True) if q >= 0.5] if k and own.max() >= 0.5 else [])
                 a = b
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(spans, kind)], names=[*kept, "toxic_score", "toxic_spans"])
 
     span = StructType().add("start", IntegerType()).add("end", IntegerType()).add("p", DoubleType())
-    return docs.mapInArrow(run, StructType(list(docs.schema)).add("toxic_score", DoubleType()).add("toxic_spans", ArrayType(span)))
+    return docs.mapInArrow(frugal("toxicity", run), StructType(list(docs.schema)).add("toxic_score", DoubleType()).add("toxic_spans", ArrayType(span)))
