@@ -7,6 +7,9 @@ at the last such place. Where an overlap has none, it is widened, up to the whol
 
 Other texts are encoded whole; their words between plain spaces and line feeds are encoded once per task and batch.
 Special strings inside texts are handled as the library does by default. Null texts count as empty: 0 bytes, 0 tokens.
+Repeated rows, and rows without a doc_id, are counted one by one; an empty table gives an empty one; extra columns are
+ignored. Words above LONGEST characters aren't remembered. A huge text without white space in an overlap, however wide,
+has no proven boundary there: its rest is encoded as a whole.
 """
 
 from __future__ import annotations
@@ -15,7 +18,9 @@ import os
 
 from pyspark.sql import DataFrame
 
-MEMO = 400_000
+from burrow.llm.common import frugal, worker_cache
+
+MEMO, LONGEST = 400_000, 64
 
 
 class Counter:
@@ -76,15 +81,17 @@ class Counter:
         if len(self.memo) > MEMO:
             self.memo.clear()
         memo = self.memo
-        new = [*{x for c in cut if c for x in c if x not in memo}]
+        new, passing = [*{x for c in cut if c for x in c if x not in memo}], []
         for i in range(0, len(new), 2000):
             some = new[i : i + 2000]
             for word, found in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 memo[word] = len(found.ids)
-        return [self.huge(t) if c is None else sum([memo[x] for x in c]) for t, c in zip(texts, cut, strict=True)]
-
-
-_counters: dict[tuple, Counter] = {}
+                if len(word) > LONGEST:
+                    passing.append(word)
+        counts = [self.huge(t) if c is None else sum([memo[x] for x in c]) for t, c in zip(texts, cut, strict=True)]
+        for x in passing:
+            del memo[x]
+        return counts
 
 
 def token_counts(docs: DataFrame, path: str, *, limit: int = 2048, chunk: int = 60_000, overlap: int = 512) -> DataFrame:
@@ -96,8 +103,9 @@ def token_counts(docs: DataFrame, path: str, *, limit: int = 2048, chunk: int =
     def run(batches):
         import pyarrow as pa
 
-        own = _counters.setdefault((path, chunk, overlap), None) or Counter(path, chunk, overlap)
-        _counters[path, chunk, overlap] = own
+        kept = worker_cache("tokencount")
+        own = kept.get((path, chunk, overlap)) or Counter(path, chunk, overlap)
+        kept[path, chunk, overlap] = own
         for batch in batches:
             texts, counts = [t or "" for t in batch.column("text").to_pylist()], []
             some, size = [], 0
@@ -110,4 +118,4 @@ def token_counts(docs: DataFrame, path: str, *, limit: int = 2048, chunk: int =
                     size += len(t)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select("doc_id", "text").mapInArrow(frugal("tokencount", run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
