@@ -25,8 +25,6 @@ from burrow.llm.common import Scratch, free_prefix, frugal
 _SYMBOL = re.compile(r"[^\w\s.,;:'\"()?\-]")
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 _DIGIT = re.compile(r"\d")
-#: Evidence and site odds are held within these bounds (log odds).
-MOST_DOC, MOST_SITE = 12.0, 2.0
 
 
 def measures(text: str) -> list[float]:
@@ -91,7 +89,7 @@ def _evidence(weights: list[float] | None, kept: list[str], name: str = "evidenc
                 e = np.zeros(batch.num_rows)
             else:
                 e = np.array([measures(t or "") for t in batch.column("text").to_pylist()]).reshape(batch.num_rows, len(weights)) @ np.array(weights)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.clip(e, -MOST_DOC, MOST_DOC))], names=[*kept, name])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(e)], names=[*kept, name])
 
     return run
 
@@ -139,5 +137,5 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, host: s
     own = f"1 / (1 + exp(-{q}evidence_))"
     joined = scored.join(sites, [f"{q}host_", f"{q}path_"], "left")
     posterior = f"greatest(1e-6D, least(1 - 1e-6D, ({q}site_good - {own} + {q}strength * {q}host_rate) / ({q}site_n - 1 + {q}strength)))"
-    shift = f"greatest(-{MOST_SITE}D, least({MOST_SITE}D, ln(quality_site / (1 - quality_site)) - {math.log(rate / (1 - rate))!r}D))"
+    shift = f"ln(quality_site / (1 - quality_site)) - {math.log(rate / (1 - rate))!r}D"
     return joined.withColumn("quality_doc", F.expr(own)).withColumn("quality_site", F.expr(posterior)).withColumn("quality_score", F.expr(f"1 / (1 + exp(-({q}evidence_ + {shift})))")).withColumn("quality_keep", F.expr("quality_score >= 0.5")).select(*docs.columns, "quality_doc", "quality_site", "quality_score", "quality_keep")
