@@ -77,11 +77,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``. Where that is unset there is none to guess on a
+    cluster, and only a local session, whose one process is driver and executor, gets a folder of its own."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
         if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="burrow-checkpoint-"))
         found = sc._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")
@@ -104,10 +107,20 @@ class Scratch:
         df.write.mode("overwrite").parquet(f"{self.home}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.home}/{name}")
 
+    def _path(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.home}/{name}" if name else self.home)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
     def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.home}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        system, path = self._path(name)
+        system.delete(path, True)
+
+    def keep_only(self, *names: str) -> None:
+        """Removes all tables but those that a result still reads."""
+        system, home = self._path("")
+        for found in system.listStatus(home) if system.exists(home) else ():
+            if found.getPath().getName() not in names:
+                system.delete(found.getPath(), True)
 
 
 def _forest(batches):

@@ -292,7 +292,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float, small: int) ->
     pairs = pairs.join(F.broadcast(known) if size <= 10 * small else known, "row").where(f"windows * {SEED} >= {share} * n_words")
     pairs = pairs.select("t1", "t2", "item_id", "n_words", "item_words").join(texts.select("t1", "t2", "doc_words"), ["t1", "t2"])
     found = pairs.mapInArrow(frugal("tiling", _tile(share)), "t1 long, t2 long, item_id long, n_words long, covered long, coverage double, n_tiles long")
-    return stretches.select("doc_id", "t1", "t2"), scratch.save(found, "found")
+    found = scratch.save(found, "found")
+    scratch.keep_only("stretches", "found")
+    return stretches.select("doc_id", "t1", "t2"), found
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.8, small: int = 200_000) -> DataFrame:

@@ -569,6 +569,7 @@ def wrappers(pages: DataFrame, scratch: Scratch, small: int) -> DataFrame:
     while (found.groupBy("host").count().agg(F.max("count")).first()[0] or 1) > 1:
         turn += 1
         found = scratch.save(dealt(found, "wrapper").applyInArrow(frugal_group("wrapper", _again), "host string, wrapper string"), f"wrappers-{turn}")
+    scratch.keep_only(f"wrappers-{turn}")
     return found
 
 
