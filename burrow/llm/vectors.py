@@ -3,13 +3,19 @@
 Unit vectors with cosine >= c lie within squared distance 2 - 2c. After a fixed random rotation the coordinates are
 split into blocks; of two such vectors at least one block differs by no more than its proportional share of that
 squared distance. Each block is range-joined: its first coordinates form a grid, every vector is at home in one cell
-and also visits the cells within the block's radius, and a cell compares homes with visitors. A pair that several
-blocks find counts in the first of them only. All found pairs are verified by cosine in double precision.
+and also visits the cells within the block's radius, and a cell compares homes with visitors. How many coordinates
+form the grid follows from the number of vectors of a label, by the cost of visits and comparisons.
 
-A cell returns sums and a spanning forest, never pairs, so a hot vector costs comparisons but no rows; cells above a
-size are dealt out as pairs of tiles. Vectors that are null, zero, or hold null or non-finite components, and rows
-with a null label or vec_id, link with nothing and keep their own id. Rows that repeat a vec_id and its vector count
-once and all have its result; a vec_id with several vectors has the links of all of them, but none with itself.
+A visit carries an id and the block's coordinates, not the vector. What lies within a block's budget there is a
+candidate; candidates fetch both vectors and are verified by cosine in double precision, and a pair that several blocks
+find counts in the first of them only. A cell (or pair of tiles of a large cell) with more than a few candidates for
+each of its vectors emits no pairs; its vectors are fetched instead, and it returns sums and a spanning forest. So
+pairs grow with the number of vectors, and a hot group costs comparisons but no rows.
+
+Vectors that are null, zero, or hold null or non-finite components, and rows with a null label or vec_id, link with
+nothing and keep their own id. Rows that repeat a vec_id and its vector count once and all have its result; a vec_id
+with several vectors has the links of all of them, but none with itself. An empty table gives an empty one; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +26,10 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burrow.llm.common import Scratch, components
+from burrow.llm.common import Scratch, components, frugal, frugal_group
+
+#: Candidates per vector up to which a cell emits them as pairs.
+FEW = 8
 
 
 @lru_cache(None)
@@ -61,90 +70,190 @@ def units(raw):
     return x / np.sqrt(norm)[:, None]
 
 
-def _visits(block: int, grid: int, cosine: float, spread: float):
+def stacked(bodies: list[bytes], dim: int):
+    """Rows of vectors of one dimension, as they came."""
+    import numpy as np
+
+    raw = b"".join(bodies)
+    return np.frombuffer(raw, np.float32 if len(raw) == 4 * dim * len(bodies) else np.float64).reshape(-1, dim)
+
+
+def turned_of(raw):
+    """Unit rows and rotated unit rows."""
+    import numpy as np
+
+    raw = raw.astype(np.float64)
+    unit = units(raw / np.abs(raw).max(axis=1)[:, None])
+    return unit, rotated(unit)
+
+
+def _usable(batches):
+    """Vectors that can link, as bytes of their own precision."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        rows, bodies, dims, by = batch.column("embedding"), {}, {}, {}
+        for i, v in enumerate(rows.to_pylist()):
+            if v and None not in v:
+                by.setdefault(len(v), []).append(i)
+        for dim, at in by.items():
+            raw = np.asarray(rows.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)).reshape(-1, dim)
+            good = np.isfinite(raw).all(axis=1) & (np.where(np.isfinite(raw), raw, 0) != 0).any(axis=1)
+            for i, v in zip(np.array(at)[good].tolist(), raw[good], strict=True):
+                bodies[i], dims[i] = v.tobytes(), dim
+        at = sorted(bodies)
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(at, pa.int64())), batch.column("label").take(pa.array(at, pa.int64())), pa.array([dims[i] for i in at], pa.int32()), pa.array([bodies[i] for i in at], pa.binary())], names=["vec_id", "label", "dim", "body"])
+
+
+def _visits(block: int, cosine: float, spread: float):
+    """A row per vector, block and cell that it is at home in or visits."""
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        from burrow.llm.textgrams import mix
+
         for batch in batches:
-            rows, by = batch.column("embedding"), {}
-            for i, v in enumerate(rows.to_pylist()):
-                if v and None not in v:
-                    by.setdefault(len(v), []).append(i)
-            for dim, at in by.items():
-                values = rows.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
-                raw = np.asarray(values, np.float64).reshape(-1, dim)
-                good = np.isfinite(raw).all(axis=1)
-                peak = np.abs(np.where(good[:, None], raw, 0)).max(axis=1)
-                good &= peak > 0
-                at, raw, peak = np.array(at)[good], raw[good], peak[good]
-                if not len(at):
-                    continue
-                turned = rotated(units(raw / peak[:, None]))
-                ids, labels = batch.column("vec_id").to_numpy()[at], batch.column("label").to_numpy()[at]
-                body = [raw[k].tobytes() for k in range(len(raw))]
+            dims, grids = batch.column("dim").to_numpy(), batch.column("grid").to_numpy()
+            for dim, grid in np.unique(np.stack([dims, grids]), axis=1).T.tolist():
+                at = np.flatnonzero((dims == dim) & (grids == grid))
+                bodies, ids, labels = batch.column("body").take(pa.array(at)).to_pylist(), batch.column("uid").to_numpy()[at], batch.column("label").to_numpy()[at]
+                turned = turned_of(stacked(bodies, dim))[1]
                 cuts, budgets = layout(dim, block, cosine)
                 for n, ((a, b), budget) in enumerate(zip(cuts, budgets, strict=True)):
                     radius = math.sqrt(budget) + 1e-9
-                    lead = turned[:, a : min(b, a + grid)]
-                    width = spread * radius
-                    home, low, high = (np.floor((lead + d) / width).astype(np.int64) for d in (0, -radius, radius))
-                    which, cells = np.arange(len(lead)), np.zeros(len(lead), np.int64)
-                    base = np.zeros(len(lead), np.int64)
+                    lead, coords = turned[:, a : min(b, a + grid)], turned[:, a:b].astype(np.float32)
+                    home, low, high = (np.floor((lead + d) / (spread * radius)).astype(np.int64) for d in (0, -radius, radius))
+                    which = np.arange(len(lead))
+                    cells = mix(labels.astype(np.int64).view(np.uint64) * np.uint64(1_000_003) + np.uint64(n * 100_000 + dim))
+                    base = cells
                     for k in range(lead.shape[1]):
-                        base = base * 4096 + home[:, k] + 2048
+                        base = mix(base ^ (home[:, k] + 4096).view(np.uint64))
                         span = (high - low)[which, k] + 1
                         step = np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
-                        which, cells = np.repeat(which, span), np.repeat(cells, span) * 4096
-                        cells = cells + low[which, k] + step + 2048
-                    for s in range(0, len(which), 4096):
-                        w, c = which[s : s + 4096], cells[s : s + 4096]
+                        which, cells = np.repeat(which, span), np.repeat(cells, span)
+                        cells = mix(cells ^ (low[which, k] + step + 4096).view(np.uint64))
+                    for s in range(0, len(which), 8192):
+                        w, c = which[s : s + 8192], cells[s : s + 8192]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(labels[w], pa.int64()), pa.array(np.full(len(w), n * 100_000 + dim, np.int64)), pa.array(c), pa.array(c == base[w]), pa.array(ids[w], pa.int64()), pa.array([body[k] for k in w], pa.binary())],
-                            names=["label", "block", "cell", "home", "vec_id", "body"],
+                            [pa.array(c.view(np.int64)), pa.array(np.full(len(w), n, np.int32)), pa.array(c == base[w]), pa.array(ids[w], pa.int64()), pa.array([coords[k].tobytes() for k in w], pa.binary())],
+                            names=["cell", "block", "home", "uid", "coords"],
                         )
 
     return run
 
 
-def _firsts(ids, bodies: list[bytes]) -> list[int]:
-    """Places of the rows that repeat no earlier one."""
-    return list({row: k for k, row in reversed(list(enumerate(zip(ids.tolist(), bodies, strict=True))))}.values())[::-1]
+def _stretches(group, names):
+    """Rows of a group by equal values of the columns ``names``, ordered by ``uid``."""
+    import numpy as np
 
+    keys = [group.column(c).to_numpy() for c in names]
+    order = np.lexsort((group.column("uid").to_numpy(), *keys[::-1]))
+    change = np.zeros(len(order), bool)
+    for k in keys:
+        change[1:] |= np.diff(k[order]) != 0
+    cuts = np.r_[0, np.flatnonzero(change), len(order)] if len(order) else np.zeros(0, np.int64)
+    return [order[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+_FOUND = "hot boolean, cell long, block int, i int, j int, a long, b long"
+
+
+def _candidates(block: int, cosine: float):
+    """Pairs within a block's budget; of cells with many, the cell alone."""
 
-def _compare(block: int, cosine: float):
     def run(group):
         import numpy as np
         import pyarrow as pa
 
-        names = ("label", "block", "cell", "i", "j")
-        keys = [group.column(c).to_numpy() for c in names]
-        ids, home, tile = (group.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "home", "tile"))
-        bodies = group.column("body")
-        order = np.lexsort((ids, *keys[::-1]))
-        change = np.zeros(len(order), bool)
-        for k in keys:
-            change[1:] |= np.diff(k[order]) != 0
-        cuts = np.r_[0, np.flatnonzero(change), len(order)] if len(order) else np.zeros(0, np.int64)
-        out = {"vec_id": [], "links": [], "other": []}
-        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-            own = order[x:y]
-            if (ids[own[1:]] == ids[own[:-1]]).any():
-                own = own[_firsts(ids[own], [bodies[int(k)].as_py() for k in own])]
-            own_home = home[own].astype(bool)
-            if len(own) < 2 or not own_home.any():
+        ids, home, tile, dims = (group.column(c).to_numpy(zero_copy_only=False) for c in ("uid", "home", "tile", "dim"))
+        places = [group.column(c).to_numpy() for c in ("cell", "block", "i", "j")]
+        coords, out = group.column("coords"), {c.split()[0]: [] for c in _FOUND.split(", ")}
+        for own in _stretches(group, ("cell", "block", "i", "j")):
+            place = [int(p[own[0]]) for p in places]
+            rows, cols = np.flatnonzero(home[own].astype(bool) & (tile[own] == place[2])), np.flatnonzero(tile[own] == place[3])
+            if not len(rows) or len(own) < 2:
                 continue
-            number, dim = divmod(int(keys[1][own[0]]), 100_000)
-            i, j = int(keys[3][own[0]]), int(keys[4][own[0]])
-            cut, budgets = layout(dim, block, cosine)
-            raw = np.frombuffer(b"".join(bodies[int(k)].as_py() for k in own), np.float64).reshape(-1, dim)
-            unit = units(raw / np.abs(raw).max(axis=1)[:, None])
-            turned = rotated(unit)
-            a, b = cut[number]
-            rows = np.flatnonzero(own_home & (tile[own] == i))
-            cols = np.flatnonzero(tile[own] == j)
-            links = np.zeros(len(own), np.int64)
-            label = np.arange(len(own))
+            x = np.frombuffer(b"".join(coords[int(k)].as_py() for k in own), np.float32).reshape(len(own), -1).astype(np.float64)
+            budget = layout(int(dims[own[0]]), block, cosine)[1][place[1]] + 1e-6
+            square, a, b, n = (x * x).sum(axis=1), [], [], 0
+            for s in range(0, len(rows), 256):
+                r = rows[s : s + 256]
+                hit = square[r][:, None] + square[cols] - 2 * (x[r] @ x[cols].T) <= budget
+                hit &= ids[own[r]][:, None] != ids[own[cols]]
+                n += int(hit.sum())
+                if n > FEW * len(own):
+                    break
+                p, q = np.nonzero(hit)
+                a.append(ids[own[r[p]]])
+                b.append(ids[own[cols[q]]])
+            hot = n > FEW * len(own)
+            a, b = (np.zeros(1, np.int64),) * 2 if hot else (np.concatenate(a), np.concatenate(b))
+            for name, v in (("hot", np.full(len(a), hot)), *((c, np.full(len(a), v)) for c, v in zip(("cell", "block", "i", "j"), place, strict=True)), ("a", a), ("b", b)):
+                out[name].append(v)
+        kinds = {"hot": pa.bool_(), "block": pa.int32(), "i": pa.int32(), "j": pa.int32()}
+        return pa.table({c: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), kinds.get(c, pa.int64())) for c, v in out.items()})
+
+    return run
+
+
+def linked(unit, turned, p, q, number: int, cuts, budgets, cosine: float):
+    """Which pairs of rows reach the cosine and lie within the budget of block ``number`` but of none before it."""
+    import numpy as np
+
+    dot, first = np.zeros(len(p)), np.ones(len(p), bool)
+    for k in range(unit.shape[1]):
+        dot += unit[p, k] * unit[q, k]
+    for n in range(number + 1):
+        gap = np.zeros(len(p))
+        for k in range(*cuts[n]):
+            gap += (turned[p, k] - turned[q, k]) ** 2
+        first &= gap <= budgets[n] if n == number else gap > budgets[n]
+    return first & (dot >= cosine)
+
+
+def _verify(block: int, cosine: float):
+    """Links among candidate pairs."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            dims, numbers, keep = batch.column("dim").to_numpy(), batch.column("block").to_numpy(), np.zeros(batch.num_rows, bool)
+            for dim in np.unique(dims).tolist():
+                cuts, budgets = layout(dim, block, cosine)
+                at = np.flatnonzero(dims == dim)
+                pairs = [batch.column(c).take(pa.array(at)).to_pylist() for c in ("body_a", "body_b")]
+                unit, turned = turned_of(stacked([*pairs[0], *pairs[1]], dim))
+                for n in np.unique(numbers[at]).tolist():
+                    own = np.flatnonzero(numbers[at] == n)
+                    keep[at[own]] = linked(unit, turned, own, own + len(at), n, cuts, budgets, cosine)
+            yield batch.select(["vec_id", "other"]).filter(pa.array(keep))
+
+    return run
+
+
+def _compare(block: int, cosine: float):
+    """Links and a spanning forest of hot cells, whose vectors are at hand."""
+
+    def run(group):
+        import numpy as np
+        import pyarrow as pa
+
+        ids, home, tile, labels, dims = (group.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "home", "tile", "label", "dim"))
+        places = [group.column(c).to_numpy() for c in ("block", "i", "j")]
+        bodies, out = group.column("body"), {"vec_id": [], "links": [], "other": []}
+        for own in _stretches(group, ("cell", "block", "i", "j")):
+            own = own[(dims[own] == dims[own[0]]) & (labels[own] == labels[own[0]])]
+            number, i, j = (int(p[own[0]]) for p in places)
+            dim = int(dims[own[0]])
+            cuts, budgets = layout(dim, block, cosine)
+            unit, turned = turned_of(stacked([bodies[int(k)].as_py() for k in own], dim))
+            rows, cols = np.flatnonzero(home[own].astype(bool) & (tile[own] == i)), np.flatnonzero(tile[own] == j)
+            links, label = np.zeros(len(own), np.int64), np.arange(len(own))
             for s in range(0, len(rows), 256):
                 r = rows[s : s + 256]
                 hit_r, hit_c = np.nonzero(turned[r] @ turned[cols].T >= cosine - 1e-6)
@@ -152,17 +261,7 @@ def _compare(block: int, cosine: float):
                     p, q = r[hit_r[t : t + (1 << 16)]], cols[hit_c[t : t + (1 << 16)]]
                     other = ids[own[p]] != ids[own[q]]
                     p, q = p[other], q[other]
-                    dot, first = np.zeros(len(p)), np.ones(len(p), bool)
-                    for k in range(dim):
-                        dot += unit[p, k] * unit[q, k]
-                    gap = np.zeros(len(p))
-                    for n in range(number + 1):
-                        a, b = cut[n]
-                        gap = np.zeros(len(p))
-                        for k in range(a, b):
-                            gap += (turned[p, k] - turned[q, k]) ** 2
-                        first &= gap <= budgets[n] if n == number else gap > budgets[n]
-                    keep = first & (dot >= cosine)
+                    keep = linked(unit, turned, p, q, number, cuts, budgets, cosine)
                     p, q = p[keep], q[keep]
                     np.add.at(links, p, 1)
                     while True:
@@ -184,26 +283,56 @@ def _compare(block: int, cosine: float):
     return run
 
 
-def near_duplicates(spark: SparkSession, vectors: DataFrame, *, cosine: float = 0.98, block: int = 8, grid: int = 3, spread: float = 3.0, tile: int = 2000) -> DataFrame:
+def grid_of(n, dim, block: int, cosine: float, spread: float, visit: int):
+    """The number of grid coordinates of least cost for a label of ``n`` vectors. A cell is ``spread`` radii wide, and
+    nearly all coordinates of unit vectors lie within four standard deviations."""
+    wide = F.greatest(F.lit(1.0), 4 / F.sqrt(dim) / (spread * F.sqrt(F.lit(2 - 2 * cosine) * F.least(F.lit(block), dim) / dim)))
+    cost = lambda g: (F.lit(1 + 2 / spread) ** g) * (visit + n / wide**g)
+    return F.array_min(F.array(*(F.struct(cost(g).alias("cost"), F.lit(g).alias("grid")) for g in range(1, block + 1))))["grid"]
+
+
+def near_duplicates(spark: SparkSession, vectors: DataFrame, *, cosine: float = 0.98, block: int = 8, spread: float = 3.0, visit: int = 2000, tile: int = 2000, small: int = 20_000) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` per row of ``vectors(vec_id, embedding, label)``.
 
-    ``block``: coordinates of a block. ``grid``: its leading coordinates that form the grid. ``spread``: cell width in
-    radii. ``tile``: rows of a cell that one task compares with as many others.
+    ``block``: coordinates of a block. ``spread``: cell width in radii. ``visit``: comparisons in a block that cost as
+    much as a visit. ``tile``: rows of a cell that one task compares with as many others. ``small``: up to so many rows
+    of a side are broadcast.
     """
     scratch = Scratch(spark)
     vectors = vectors.select("vec_id", "embedding", "label")
-    visits = vectors.where("vec_id is not null and label is not null and embedding is not null").mapInArrow(_visits(block, grid, cosine, spread), "label long, block long, cell long, home boolean, vec_id long, body binary")
-    visits = scratch.save(visits, "visits")
-    cells = visits.groupBy("label", "block", "cell").agg(F.count("*").alias("n"), F.max("home").alias("any")).where("n > 1 and any").select("label", "block", "cell", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    dealt = visits.join(cells, ["label", "block", "cell"]).withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int"))
-    whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-    homes = F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.col("tile").alias("i"), t.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
-    guests = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(t.alias("i"), F.col("tile").alias("j")))
-    dealt = dealt.withColumn("at", F.explode(F.when(F.col("tiles") == 1, whole).otherwise(F.array_union(homes, guests)))).select("label", "block", "cell", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "home", "tile", "vec_id", "body")
-    rows = visits.count()
-    bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows * 600 / (16 << 20)))
-    dealt = dealt.withColumn("bin", F.pmod(F.xxhash64("label", "block", "cell", "i", "j"), F.lit(bins)))
-    found = scratch.save(dealt.groupBy("bin").applyInArrow(_compare(block, cosine), "vec_id long, links long, other long"), "found")
-    labels = components(found.select(F.col("vec_id").alias("a"), F.col("other").alias("b")), scratch, "vector").withColumnRenamed("node", "vec_id")
-    counts = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
-    return vectors.select("vec_id").join(counts, "vec_id", "left").join(labels, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.coalesce(F.col("component") == F.col("vec_id"), F.lit(True)).alias("kept"))
+    few = lambda df, n: F.broadcast(df) if n <= small else df
+    usable = vectors.where("vec_id is not null and label is not null and embedding is not null").select("vec_id", F.col("label").cast("long").alias("label"), "embedding")
+    usable = usable.mapInArrow(frugal("vectors", _usable), "vec_id long, label long, dim int, body binary").distinct()
+    usable = scratch.save(usable.withColumn("uid", F.monotonically_increasing_id()), "usable")
+    grids = scratch.save(usable.groupBy("label", "dim").agg(grid_of(F.count("*"), F.col("dim"), block, cosine, spread, visit).cast("int").alias("grid")), "grids")
+    own = usable.join(few(grids, grids.count()), ["label", "dim"])
+    visits = own.select("uid", "label", "dim", "grid", "body").mapInArrow(frugal("vectors", _visits(block, cosine, spread)), "cell long, block int, home boolean, uid long, coords binary")
+    sizes = scratch.save(visits.groupBy("cell").agg(F.count("*").alias("n")).groupBy((F.col("n") > tile).alias("large"), F.when(F.col("n") > tile, F.col("cell")).alias("cell")).agg(F.sum("n").alias("n")), "sizes")
+    rows = sizes.agg(F.sum("n")).first()[0] or 0
+    large = sizes.where("large").select("cell", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    placed = visits.join(few(large, large.count()), "cell", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    placed = placed.withColumn("tile", F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int"))
+    pair = lambda i, j: F.struct(F.lit(i).alias("i") if isinstance(i, int) else i.alias("i"), F.lit(j).alias("j") if isinstance(j, int) else j.alias("j"))
+    homes = F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: pair(F.col("tile"), t))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    guests = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: pair(t, F.col("tile")))
+    placed = placed.withColumn("at", F.explode(F.when(F.col("tiles") == 1, F.array(pair(0, 0))).otherwise(F.array_union(homes, guests))))
+    placed = placed.select("cell", "block", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "home", "tile", "tiles", "uid", "coords")
+    bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows * 100 / (8 << 20)))
+    dims = usable.select("dim").distinct()
+    one = [r["dim"] for r in dims.limit(2).collect()]
+    sized = placed.withColumn("dim", F.lit(one[0])) if len(one) == 1 else placed.join(usable.select("uid", "dim"), "uid")
+    dealt = sized.withColumn("bin", F.when(F.col("tiles") == 1, F.pmod("cell", F.lit(bins))).otherwise(F.xxhash64("cell", "i", "j")))
+    found = scratch.save(dealt.drop("tiles").groupBy("bin").applyInArrow(frugal_group("vectors", _candidates(block, cosine)), _FOUND), "found")
+    side = lambda x, name: usable.select(F.col("uid").alias(x), F.col("vec_id").alias(name), F.col("label").alias(f"label_{x}"), F.col("dim").alias(f"dim_{x}"), F.col("body").alias(f"body_{x}"))
+    n = usable.count()
+    pairs = found.where("not hot").select("a", "b", "block").join(few(side("a", "vec_id"), n), "a").join(few(side("b", "other"), n), "b").where("label_a = label_b and dim_a = dim_b and vec_id <> other")
+    cold = pairs.select("vec_id", "other", "block", F.col("dim_a").alias("dim"), "body_a", "body_b").mapInArrow(frugal("vectors", _verify(block, cosine)), "vec_id long, other long")
+    hot = found.where("hot").select("cell", "block", "i", "j")
+    met = placed.drop("coords", "tiles").join(few(hot, hot.count()), ["cell", "block", "i", "j"]).join(few(usable, n), "uid")
+    warm = met.groupBy("cell", "i", "j").applyInArrow(frugal_group("vectors", _compare(block, cosine)), "vec_id long, links long, other long")
+    links = scratch.save(cold.select("vec_id", F.lit(1).cast("long").alias("links"), "other").unionByName(warm), "links")
+    labels = components(links.select(F.col("vec_id").alias("a"), F.col("other").alias("b")), scratch, "vector").withColumnRenamed("node", "vec_id")
+    counts = links.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
+    told = scratch.save(counts.join(labels, "vec_id", "full_outer"), "told")
+    scratch.keep_only("told")
+    return vectors.select("vec_id").join(told, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.coalesce(F.col("component") == F.col("vec_id"), F.lit(True)).alias("kept"))
