@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import signal
 import sys
 
 
@@ -44,16 +45,19 @@ def main(argv: list[str] | None = None) -> int:
         if wanted:
             watch.send(root, [os.path.abspath(f) for f in [*a.file, *files]])
     elif a.verb == "watch":
-        stop = os.path.join(root, ".burrow", "watch-stop")
+        pid = watch.running(root)
         if a.stop:
-            open(stop, "w").close()
-            return 0
-        query = watch.watch(session(), root, db)
-        if os.path.exists(stop):
-            os.remove(stop)
-        while query.isActive and not os.path.exists(stop):
-            query.awaitTermination(1)
-        query.stop()
+            if pid:
+                os.kill(pid, signal.SIGTERM)
+            return 0 if pid else 1
+        if pid:
+            print(f"process {pid} watches {root} already", file=sys.stderr)
+            return 1
+        with watch.registered(root) as ended:
+            query = watch.watch(session(), root, db)
+            while query.isActive and not ended.wait(1):
+                pass
+            query.stop()
     else:
         try:
             engine = tools.Engine(session(), db)

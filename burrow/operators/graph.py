@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEPTH, MOST_DEPTH, REPORT_DEPTH = 3, 20, 10
+#: Frontiers of up to so many nodes are broadcast to the edges; beyond it both are shuffled.
+FEW = 100_000
 
 
 def levels(edges: DataFrame, root: str, depth: int) -> DataFrame:
@@ -16,14 +18,15 @@ def levels(edges: DataFrame, root: str, depth: int) -> DataFrame:
     """
     spark = edges.sparkSession
     frontier = spark.range(1).select(F.lit(root).alias("node"), F.lit(0).alias("depth"))
-    seen = frontier
+    seen, n, met = frontier, 1, 1
+    few = lambda df, size: F.broadcast(df) if size <= FEW else df
     for d in range(1, depth):
-        step = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        step = step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d))
-        step = settled(step)
-        if step.isEmpty():
+        step = edges.join(few(frontier.select(F.col("node").alias("src")), n), "src").select(F.col("dst").alias("node")).distinct()
+        step = settled(step.join(few(seen.select("node"), met), "node", "left_anti").withColumn("depth", F.lit(d)))
+        n = step.count()
+        if not n:
             break
-        seen, frontier = seen.unionByName(step), step
+        seen, frontier, met = seen.unionByName(step), step, met + n
     return seen
 
 
@@ -56,7 +59,11 @@ def ordered(edges: DataFrame) -> DataFrame:
 
 def path_between(dependencies: DataFrame, start: str, goal: str, max_depth: int = REPORT_DEPTH) -> DataFrame:
     """Edges on walks from ``start`` to ``goal`` within the edges that ``start`` reaches."""
-    forward = settled(dependency_graph(dependencies, start, max_depth))
+    return path_within(settled(dependency_graph(dependencies, start, max_depth)), goal, max_depth)
+
+
+def path_within(forward: DataFrame, goal: str, max_depth: int = REPORT_DEPTH) -> DataFrame:
+    """Edges of ``forward(from, to, dep_kind)`` on walks to ``goal``."""
     back = levels(forward.select(F.col("to").alias("src"), F.col("from").alias("dst")).distinct(), goal, max_depth * 2 + 2)
     marked = back.select("node")
     ends = forward.join(marked.withColumnRenamed("node", "from"), "from", "left_semi").join(marked.withColumnRenamed("node", "to"), "to", "left_semi")

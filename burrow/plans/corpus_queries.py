@@ -254,27 +254,27 @@ result AS (SELECT {edges}, dep_kind, depth FROM found)"""
 
 @query(walk(1) + " SELECT * FROM result")
 def dep_graph_d1(c):
-    return graph.dependency_graph(c.dependencies(), ROOT, 1)
+    return graph.dependency_graph(graph.settled(c.dependencies()), ROOT, 1)
 
 
 @query(walk(2) + " SELECT * FROM result")
 def dep_graph_d2(c):
-    return graph.dependency_graph(c.dependencies(), ROOT, 2)
+    return graph.dependency_graph(graph.settled(c.dependencies()), ROOT, 2)
 
 
 @query(walk(3) + " SELECT * FROM result")
 def dep_graph_d3(c):
-    return graph.dependency_graph(c.dependencies(), ROOT, 3)
+    return graph.dependency_graph(graph.settled(c.dependencies()), ROOT, 3)
 
 
 @query(walk(3, "is_internal") + " SELECT * FROM result")
 def dep_graph_internal(c):
-    return graph.dependency_graph(c.dependencies(), ROOT, 3, True)
+    return graph.dependency_graph(graph.settled(c.dependencies()), ROOT, 3, True)
 
 
 @query(walk(3, "is_internal", turned=True) + " SELECT * FROM result")
 def reverse_graph(c):
-    return graph.reverse_dependency_graph(c.dependencies(), ROOT, 3)
+    return graph.reverse_dependency_graph(graph.settled(c.dependencies()), ROOT, 3)
 
 
 @query(walk(10, "is_internal", turned=True) + """, direct AS (SELECT DISTINCT package FROM dependencies WHERE dependency='part-0'), reach AS (SELECT DISTINCT "from" AS package FROM result)
@@ -287,20 +287,23 @@ BETWEEN = walk(3) + """, goal AS (SELECT max("to") AS g FROM result), back AS (S
 path AS (SELECT "from", "to", dep_kind FROM result WHERE "from" IN (SELECT node FROM back) AND "to" IN (SELECT node FROM back))"""
 
 
-def goal(c) -> str:
-    return graph.dependency_graph(c.dependencies(), ROOT, 3).agg(F.max("to")).first()[0] or ROOT
+def between(c):
+    """The last package by name that ROOT reaches in three steps, and the edges on the way to it."""
+    forward = graph.settled(graph.dependency_graph(graph.settled(c.dependencies()), ROOT, 3))
+    end = forward.agg(F.max("to")).first()[0] or ROOT
+    return end, graph.path_within(forward, end, 3)
 
 
 @query(BETWEEN + " SELECT * FROM path")
 def path_between(c):
-    return graph.path_between(c.dependencies(), ROOT, goal(c), 3)
+    return between(c)[1]
 
 
 @query(BETWEEN + """ SELECT n.name, p.path, p.kind, p.description FROM (SELECT "from" AS name FROM path UNION SELECT "to" FROM path) n LEFT JOIN packages p USING (name)
 WHERE n.name <> 'part-0' AND n.name <> (SELECT g FROM goal)""")
 def intermediates(c):
-    end = goal(c)
-    return graph.intermediates(graph.path_between(c.dependencies(), ROOT, end, 3), c.packages(), ROOT, end)
+    end, path = between(c)
+    return graph.intermediates(path, c.packages(), ROOT, end)
 
 
 @query(f"""+ m AS (SELECT * FROM packages WHERE {hits(['name', 'description', 'path'], 'example')} ORDER BY name LIMIT 20)

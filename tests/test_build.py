@@ -72,10 +72,30 @@ def test_watch_coalesces(spark, root):
     query.awaitTermination(60)
     query.stop()
     assert len(calls) == 1
+    with open(os.path.join(watch.inbox(str(root)), "bad.json"), "w") as f:
+        f.write("not json\n")
+    query = watch.watch(spark, str(root), once=True, rebuild=lambda *a: calls.append(a))
+    query.awaitTermination(60)
+    assert len(calls) == 1
     assert watch.hook('{"tool_name":"Bash","tool_input":{"command":"ls"}}') == (False, [])
     assert watch.hook("not json") == (True, [])
 
 
+def test_watcher_state(tmp_path):
+    import os
+    import signal
+
+    root = str(tmp_path)
+    assert watch.running(root) is None
+    with watch.registered(root) as ended:
+        assert watch.running(root) == os.getpid()
+        os.kill(os.getpid(), signal.SIGTERM)
+        assert ended.wait(5)
+    assert watch.running(root) is None
+    (tmp_path / ".burrow" / "watch.pid").write_text("999999999")
+    assert watch.running(root) is None and not (tmp_path / ".burrow" / "watch.pid").exists()
+
+
 def test_onboard_lists_all_extensions(spark):
     from types import SimpleNamespace
 
