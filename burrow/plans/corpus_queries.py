@@ -145,6 +145,13 @@ def search_postings(c):
     return s.join(near, key, "left_semi").where(search.matches(["signature"], "to be")).select(*key)
 
 
+@query(f"SELECT file_path, line, name FROM symbols WHERE {hits(['name', 'kind', 'signature', 'file_path'], 'as the')} ORDER BY file_path, line, name LIMIT 50")
+def search_symbols_indexed(c):
+    """The search as an index answers it, through stored postings."""
+    s = c.symbols()
+    return search.search_symbols(s, "as the", index=search.stored_postings(s)).select("file_path", "line", "name")
+
+
 @query("SELECT extension, count(*) AS count FROM files_raw WHERE extension<>'' GROUP BY extension ORDER BY count DESC, extension")
 def extension_distribution(c):
     return aggregate.extension_distribution(c.files_raw())
@@ -224,6 +231,23 @@ def config_overrides(c):
     return maintain.override_descriptions(p, p.where("kind = 'site'").select("name", F.concat(F.lit("site "), "name").alias("description")))
 
 
+@query("SELECT path, CASE WHEN package IN (SELECT name FROM packages WHERE kind='site') THEN package END AS package, extension, size_bytes FROM files")
+def repaired_files(c):
+    """Files of packages that the index lost belong to none."""
+    return maintain.repair(c.packages().where("kind = 'site'"), c.symbols(), c.edges(), c.files())[2]
+
+
+@query("SELECT package, dependency, dep_kind, version_req FROM edges WHERE package IN (SELECT name FROM packages WHERE kind='small')")
+def repaired_dependencies(c):
+    return maintain.repair(c.packages().where("kind = 'small'"), c.symbols(), c.edges(), c.files())[1]
+
+
+@query("SELECT 'x-' || name AS name, 'none' AS description FROM packages WHERE kind='site'")
+def unknown_overrides(c):
+    sites = c.packages().where("kind = 'site'").select("name", F.lit("none").alias("description"))
+    return maintain.unknown_overrides(c.packages(), sites.unionByName(sites.withColumn("name", F.concat(F.lit("x-"), "name"))))
+
+
 @query("SELECT source AS package, sha256(string_agg(sha256(text), '' ORDER BY concat('docs/', source, '/', doc_id, '.txt'))) AS content_hash FROM documents GROUP BY source")
 def source_hash(c):
     d = c.table("documents").select(F.col("source").alias("package"), F.concat(F.lit("docs/"), "source", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), F.sha2("text", 256).alias("hash"))
