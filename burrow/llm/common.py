@@ -159,7 +159,9 @@ def components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     def stars(df: DataFrame) -> DataFrame:
         return df.mapInArrow(frugal("components", _forest), "a long, b long")
 
+    state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     now = scratch.save(stars(edges.select("a", "b").where("a <> b")).distinct(), f"{tag}-0")
+    before = state(now)
     for turn in range(1, 60):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -169,10 +171,9 @@ def components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
         small = down.join(low, "a").select(F.col("b").alias("x"), "m").where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b"))
         new = small.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         new = scratch.save(new, f"{tag}-{turn}")
-        same = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         scratch.drop(f"{tag}-{turn - 1}")
-        now = new
-        if same:
+        now, last, before = new, before, state(new)
+        if before == last:
             break
     else:
         raise RuntimeError("components did not settle in 60 rounds")
