@@ -53,10 +53,12 @@ class Corpus:
         order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_extendedprice", "l_shipdate")
         lines = self.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linenumber", "l_extendedprice", "l_shipdate").withColumn("nxt", F.lead("l_partkey").over(order))
         kind = F.when(F.col("l_returnflag") == "A", "dev").when(F.col("l_returnflag") == "R", "peer").otherwise("runtime")
-        name = F.concat(F.lit("part-"), "l_partkey")
-        inner = lines.where("nxt is not null").select(name.alias("package"), F.concat(F.lit("part-"), "nxt").alias("dependency"), kind.alias("dep_kind"), F.col("l_linenumber").alias("v"))
-        outer = lines.select(name.alias("package"), F.concat(F.lit("ext-"), "l_suppkey").alias("dependency"), F.lit("runtime").alias("dep_kind"), F.col("l_linenumber").alias("v"))
-        return inner.unionByName(outer).groupBy("package", "dependency", "dep_kind").agg(F.concat(F.lit("^"), F.max("v")).alias("version_req"))
+        required = F.concat(F.lit("^"), F.max("l_linenumber")).alias("version_req")
+        named = lambda prefix, c, to: F.concat(F.lit(prefix), c).alias(to)
+        inner = lines.where("nxt is not null").groupBy("l_partkey", "nxt", kind.alias("dep_kind")).agg(required)
+        outer = lines.groupBy("l_partkey", "l_suppkey").agg(required)
+        inner = inner.select(named("part-", "l_partkey", "package"), named("part-", "nxt", "dependency"), "dep_kind", "version_req")
+        return inner.unionByName(outer.select(named("part-", "l_partkey", "package"), named("ext-", "l_suppkey", "dependency"), F.lit("runtime").alias("dep_kind"), "version_req"))
 
     def dependencies(self) -> DataFrame:
         return maintain.mark_internal(self.edges(), self.packages())
