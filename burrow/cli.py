@@ -38,8 +38,8 @@ def main(argv: list[str] | None = None) -> int:
     db = a.db or config.load(root).db_path or store.default_path(root)
     if a.verb == "build":
         report = build.build(session(), root, db, a.force)
-        print(report.summary())
-        print("\n".join(f"{k}: {v} ms" for k, v in report.timings.items()), file=sys.stderr)
+        print(report.summary(db))
+        print(report.notes(), file=sys.stderr)
     elif a.verb == "rebuild":
         wanted, files = watch.hook(sys.stdin.read()) if a.stdin else (True, [])
         if wanted:

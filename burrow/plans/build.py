@@ -34,9 +34,22 @@ class Report:
     unknown_overrides: list[str] = field(default_factory=list)
     timings: dict[str, int] = field(default_factory=dict)
 
-    def summary(self) -> str:
-        changed = ", ".join(f"{n} {k}" for k, n in sorted(self.states.items()))
-        return f"Indexed {self.packages} packages, {self.symbols} symbols, {self.files} files ({changed or 'no manifests'})"
+    whole: bool = True
+
+    def summary(self, db: str) -> str:
+        """One line: totals, and of a build that took over an earlier one also what changed."""
+        n = lambda state: self.states.get(state, 0)
+        changes = "" if self.whole else f" ({n('new')} added, {n('changed')} updated, {n('removed')} removed, {n('unchanged')} skipped{f', {self.refreshed} source-updated' if self.refreshed else ''})"
+        return f"Indexed {self.packages} packages{changes}, {self.symbols} symbols, {self.files} files into {db}"
+
+    def notes(self) -> str:
+        """Failures and the time of each phase, a line each."""
+        failed = [f"{len(self.failures)} manifest(s) failed to parse:", *(f"  {path}: {error}" for path, error in self.failures)] if self.failures else []
+        return "\n".join([*failed, *(f"override for unknown package: {name}" for name in self.unknown_overrides), "Build timing:", *(f"  {k:<20} {v}ms" for k, v in self.timings.items())])
+
+
+#: The phase that the writing of a table belongs to.
+PHASES = {"packages": "remove-deleted", "dependencies": "recompute-internals", "symbols": "extract-symbols", "symbol_postings": "extract-symbols", "files": "index-files", "manifest_hashes": "update-hashes", "source_hashes": "update-hashes"}
 
 
 def parse_manifests(found: DataFrame, context: manifests.Context) -> DataFrame:
@@ -137,12 +150,13 @@ def build(spark: SparkSession, root: str, db: str | None = None, force: bool = F
 
     def timed(phase: str) -> None:
         now = time.monotonic()
-        report.timings[phase] = int((now - mark[0]) * 1000)
+        report.timings[phase] = report.timings.get(phase, 0) + int((now - mark[0]) * 1000)
         mark[0] = now
 
     own = configuration.load(root)
     store = Store(spark, db or own.db_path or default_path(root))
     old = (lambda name: store.table(name).limit(0)) if force else store.table
+    report.whole = force or not store.exists()
     held: list[DataFrame] = []
 
     def hold(df: DataFrame) -> DataFrame:
@@ -151,11 +165,13 @@ def build(spark: SparkSession, root: str, db: str | None = None, force: bool = F
 
     tree = hold(read_tree(spark, root, own.exclude, wanted_content(own)))
     try:
+        report.files = tree.count()
+        timed("walk")
         wanted = [m for m in own.manifests if m in manifests.PARSERS or m in manifests.CONTEXT_FILES]
         walked = tree.where(F.col("filename").isin(wanted)).withColumn("content_hash", F.sha2("content", 256))
         state = maintain.diff(walked, old("manifest_hashes"))
         report.states = {r["state"]: r["n"] for r in state.groupBy("state").agg(F.count("*").alias("n")).collect()}
-        timed("walk")
+        timed("diff")
         context = read_context(walked)
         timed("workspace-context")
         parsed = hold(parse_manifests(walked, context))
@@ -178,6 +194,7 @@ def build(spark: SparkSession, root: str, db: str | None = None, force: bool = F
         edges = good.select(F.col("name").alias("package"), F.explode("dependencies").alias("d")).select("package", "d.dependency", "d.dep_kind", "d.version_req")
         edges = maintain.keep_last(edges.withColumn("n", F.monotonically_increasing_id()), ["package", "dependency", "dep_kind"], "n").drop("n")
         dependencies = maintain.mark_internal(edges, packages)
+        report.packages, report.failures = packages.count(), [(r["path"], r["error"]) for r in failures.limit(1000).collect()]
         timed("parse")
         sources = tree.where(is_source(own.exclude_extensions)).select("path", F.sha2("content", 256).alias("hash"))
         owned = hold(in_rule(ownership.all_owners(sources, packages).withColumnRenamed("owner", "package"), packages, own.rules))
@@ -188,7 +205,7 @@ def build(spark: SparkSession, root: str, db: str | None = None, force: bool = F
         kept = old("symbols").join(hashes.select("package"), "package", "left_semi").join(stale, "package", "left_anti")
         fresh = owned.join(stale, "package", "left_semi").select("package", "path").join(tree.select("path", "content"), "path")
         symbols = kept.unionByName(extract_symbols(fresh))
-        timed("extract-symbols")
+        timed("update-hashes")
         files = ownership.assign_owner(tree.select("path", "extension", "size_bytes"), packages)
         now = datetime.now(timezone.utc)
         tables = {
@@ -198,12 +215,10 @@ def build(spark: SparkSession, root: str, db: str | None = None, force: bool = F
         gone = old("source_hashes").join(hashes.select("package"), "package", "left_anti")
         if force or report.refreshed or not store.exists() or not gone.isEmpty():
             tables |= {"symbols": symbols, "symbol_postings": lambda written: search.stored_postings(written("symbols"))}
-        report.packages, report.failures = packages.count(), [(r["path"], r["error"]) for r in failures.limit(1000).collect()]
-        report.files = tree.count()
         meta = [("indexed_at", now.isoformat()), ("git_commit", git_commit(root)), ("package_count", str(report.packages)), ("file_count", str(report.files)), ("total_duration_ms", str(int((time.monotonic() - began) * 1000)))]
         counted = spark.createDataFrame([m for m in meta if m[1] is not None], "key string, value string")
         tables["meta"] = lambda written: counted.unionByName(written("symbols").agg(F.count("*").cast("string").alias("value")).select(F.lit("symbol_count").alias("key"), "value"))
-        store.commit(tables)
+        store.commit(tables, lambda name: timed(PHASES.get(name, "commit")))
         report.symbols = store.table("symbols").count()
         timed("commit")
         report.timings["total"] = int((time.monotonic() - began) * 1000)

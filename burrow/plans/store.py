@@ -45,9 +45,9 @@ class Store:
     def table(self, name: str) -> DataFrame:
         return self._read(next(iter(self.versions()), {}).get(name), name)
 
-    def commit(self, tables: dict[str, DataFrame | Callable]) -> str:
+    def commit(self, tables: dict[str, DataFrame | Callable], written: Callable[[str], None] | None = None) -> str:
         """Writes the tables given, keeps the others, and then moves the pointer. A table may be a function of a reader of
-        the new version; it sees the tables that come before it in the schema."""
+        the new version; it sees the tables that come before it in the schema. ``written`` is told each table that was written."""
         new, before = f"v-{uuid.uuid4().hex[:12]}", self.versions()
         now = dict(before[0]) if before else {}
         for name in TABLES:
@@ -57,6 +57,8 @@ class Store:
                 wanted = [x.split()[0] for x in TABLES[name].split(", ")]
                 rows.select(*wanted).write.mode("overwrite").parquet(f"{self.path}/{new}/{name}")
                 now[name] = new
+                if written:
+                    written(name)
         kept = [now, *before][:KEPT]
         self._point(json.dumps(kept))
         self._expire({folder for v in kept for folder in v.values()})

@@ -55,6 +55,10 @@ def test_first_build_then_edits(spark, root):
     for table in ("packages", "dependencies", "symbols", "symbol_postings", "manifest_hashes", "failures"):
         one, two = ({tuple(map(str, r)) for r in Store(spark, at).table(table).collect()} for at in (db, str(root.parent / "other")))
         assert one == two, table
+    assert first.summary("x") == f"Indexed 3 packages, 1 symbols, {first.files} files into x" and first.files == 7
+    assert second.summary("x").startswith("Indexed 3 packages (0 added, 0 updated, 1 removed, 4 skipped, 1 source-updated), 2 symbols")
+    assert set(first.timings) >= {"walk", "workspace-context", "diff", "parse", "remove-deleted", "recompute-internals", "update-hashes", "extract-symbols", "index-files", "total"}
+    assert "1 manifest(s) failed to parse:\n  crates/bad/Cargo.toml" in first.notes()
     third = build.build(spark, str(root), db)
     assert third.refreshed == 0 and Store(spark, db).versions()[0]["symbols"] == Store(spark, db).versions()[1]["symbols"]
     t = tools.Tools(tools.Engine(spark, db))
