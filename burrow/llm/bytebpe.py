@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from burrow.llm.common import frugal, worker_cache
 
-LONGEST, MEMO_BYTES = 64, 96 << 20
+LONGEST, MEMO_BYTES = 64, 40 << 20
 _ODD = re.compile(r"\s\s|\A\s|\s\Z")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 

@@ -29,7 +29,7 @@ from burrow.llm.common import Scratch, free_prefix, frugal, worker_cache
 WORD = re.compile(r"\w+")
 SEED = 5
 LEAST_BITS, MOST_BITS, BLOCK = 1 << 16, 1 << 28, 1 << 15
-MEMO = 400_000
+MEMO = 100_000
 PAIRS = 2_000_000
 GAP = 0
 
