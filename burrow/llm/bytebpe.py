@@ -1,19 +1,26 @@
-"""Operator 7: byte-level BPE encoding and decoding with the tokenizers library, over Arrow batches.
+"""Operator 7: byte-level BPE encoding and decoding over Arrow batches.
 
-A text is cut before every single space that stands between two characters that are not white space. The
-pre-tokenizer always ends a match there, so each piece is encoded alike alone and in place; a piece that a task has
-seen before is looked up, and the library encodes the others of a batch in one call. Offsets come from the library
-per piece, in characters, and shift by the piece's place. Decoding maps each id to its bytes through the reversed
-byte-to-character table; characters whose bytes are split between tokens are whole again once the bytes are joined,
-and a stream of ids is decoded incrementally without breaking them.
+A file of ranks (.tiktoken) is read by the tiktoken library with the pattern of public_tokenizers, which encodes whole
+texts. Its expression overflows its stack on white space that goes on for hundreds of thousands of characters, so a run
+of RUN or more is cut out: all of it but its last character, or all of it at the end of a text, is one match of the
+pattern, and what follows matches alike from there on. Spans of tokens come from their bytes.
+
+A file of the tokenizers format (.json) is read by the tokenizers library. A text is then cut before every single space
+that stands between two characters that are not white space. The pre-tokenizer always ends a match there, so each piece
+is encoded alike alone and in place; a piece that a task has seen before is looked up, and the library encodes the
+others of a batch in one call. Pieces above LONGEST characters aren't remembered, and those remembered take about
+MEMO_BYTES at most. Offsets come from the library per piece, in characters, and shift by the piece's place.
+
+Decoding maps each id to its bytes; characters whose bytes are split between tokens are whole again once the bytes are
+joined, and a stream of ids is decoded incrementally without breaking them.
 
 Null texts count as empty: no ids, and the digests of the empty string. Repeated rows, and rows without a doc_id, are
-encoded one by one; an empty table gives an empty one; extra columns are ignored. A text of any length is encoded
-whole: pieces above LONGEST characters aren't remembered, and those remembered take about MEMO_BYTES at most.
+encoded one by one; an empty table gives an empty one; extra columns are ignored. A text of any length is encoded whole.
 """
 
 from __future__ import annotations
 
+import base64
 import codecs
 import hashlib
 import json
@@ -25,7 +32,8 @@ from pyspark.sql import DataFrame
 
 from burrow.llm.common import frugal, worker_cache
 
-LONGEST, MEMO_BYTES = 64, 40 << 20
+LONGEST, MEMO_BYTES, RUN = 64, 40 << 20, 10_000
+_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % RUN)
 _ODD = re.compile(r"\s\s|\A\s|\s\Z")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -87,12 +95,18 @@ class Codec:
                     self.held += 150 + 4 * len(piece) + 40 * len(found.ids)
 
     def encode(self, text: str) -> list[int]:
-        cut = pieces(text)
-        self.learn(cut)
-        ids: list[int] = []
-        for x in cut:
-            ids += self.memo[x]
-        return ids
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        cut = [pieces(t) for t in texts]
+        self.learn(x for c in cut for x in c)
+        memo, out = self.memo, []
+        for c in cut:
+            ids: list[int] = []
+            for x in c:
+                ids += memo[x]
+            out.append(ids)
+        return out
 
     def encode_with_offsets(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
         """Ids and their character spans in ``text``; tokens that share a split character have the same span end."""
@@ -116,10 +130,46 @@ class Codec:
         yield held.decode(b"", final=True)
 
 
+class RankCodec(Codec):
+    """Encoder and decoder of one file of ranks, as the tiktoken library encodes."""
+
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as file:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+        self.library = tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bytes = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.bytes[rank] = token
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        return [self.library.encode_ordinary(t) if len(t) < RUN else self._long(t) for t in texts]
+
+    def _long(self, text: str) -> list[int]:
+        ids, at = [], 0
+        for run in _BLANK.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            ids += self.library.encode_ordinary(text[at : run.start()])
+            ids += self.library._encode_single_piece(text[run.start() : end])
+            at = end
+        return ids + self.library.encode_ordinary(text[at:])
+
+    def encode_with_offsets(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
+        import numpy as np
+
+        ids = self.encode(text)
+        char = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80) - 1
+        ends = np.cumsum([len(self.bytes[i]) for i in ids], dtype=np.int64)
+        starts = np.r_[0, ends[:-1]]
+        return ids, list(zip(char[starts].tolist(), (char[ends - 1] + 1).tolist(), strict=True)) if ids else []
+
+
 def codec(path: str) -> Codec:
     kept = worker_cache("bytebpe")
     if path not in kept:
-        kept[path] = Codec(path)
+        kept[path] = (RankCodec if path.endswith(".tiktoken") else Codec)(path)
     return kept[path]
 
 
@@ -144,13 +194,7 @@ def _digests(path: str):
         for batch in batches:
             count, ids_sha, text_sha = [], [], []
             for some in _slices(batch.column("text").to_pylist()):
-                cut = [pieces(t) for _, t in some]
-                own.learn(x for c in cut for x in c)
-                memo = own.memo
-                for c in cut:
-                    ids: list[int] = []
-                    for x in c:
-                        ids += memo[x]
+                for ids in own.encode_all([t for _, t in some]):
                     count.append(len(ids))
                     ids_sha.append(hashlib.sha256(" ".join([decimal[i] for i in ids]).encode()).hexdigest())
                     text_sha.append(hashlib.sha256(own.decode(ids)).hexdigest())

@@ -155,3 +155,19 @@ def test_a_repeated_item_in_a_long_document_takes_seconds(spark):
     bench = spark.createDataFrame([(1, "same " * 400), (2, "a b c d e f")], "item_id long, text string")
     assert [tuple(r)[:2] for r in tiling.contaminated(docs, bench).collect()] == [(0, 1)]
     assert time.monotonic() - began < 60
+
+
+def test_ranks_encode_long_white_space_and_agree_with_the_library():
+    """Both vocabulary files give the same ids and spans, also around white space that overflows the expression's stack."""
+    ranked, library = (bytebpe.codec(queries.vocabulary(f"byte_bpe_50k.{x}")) for x in ("tiktoken", "json"))
+    r = random.Random(9)
+    texts = ["", "a 中文 b", *("".join(r.choices([*"ab 1.,'\n\t\x1c\x85", "  ", "é", "中", "\U0001f600", " ", "　"], k=60)) for _ in range(200))]
+    for blank in (" " * 600_000, " \n" * 300_000, "\n" * 600_000, "　" * 20_000, " " * bytebpe.RUN, "\n" * (bytebpe.RUN - 1)):
+        texts += [blank, blank + "word", "a" + blank, "a" + blank + "'s 1" + blank + "\x1c", "é" + blank[:-1] + "\t!"]
+    for t in texts:
+        ids, spans = ranked.encode_with_offsets(t)
+        assert ranked.decode(ids) == t.encode()
+        if len(t) < 100_000:
+            assert (ids, spans) == library.encode_with_offsets(t)
+        else:
+            assert ids == library.encode(t)
