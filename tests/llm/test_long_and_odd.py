@@ -171,3 +171,13 @@ def test_ranks_encode_long_white_space_and_agree_with_the_library():
             assert (ids, spans) == library.encode_with_offsets(t)
         else:
             assert ids == library.encode(t)
+
+
+def test_components_of_few_and_of_many_edges_are_alike(spark):
+    from burrow.llm.common import Scratch, components
+
+    r = random.Random(3)
+    edges = spark.createDataFrame([(r.randrange(3000) - 1500, r.randrange(3000) - 1500) for _ in range(1400)] + [(5000 + k, 5001 + k) for k in range(300)], "a long, b long")
+    rows = [sorted(map(tuple, components(edges, Scratch(spark), "x", few=few).collect())) for few in (0, 10_000)]
+    assert rows[0] == rows[1] and (5300, 5000) in rows[1]
+    assert components(edges.where("a > 9000"), Scratch(spark), "x").collect() == []
