@@ -173,6 +173,27 @@ def test_ranks_encode_long_white_space_and_agree_with_the_library():
             assert ids == library.encode(t)
 
 
+def test_copies_of_a_set_are_one_entry_of_a_list():
+    """Two sets that 20 slices hold under one key are a pair to be checked, not a long list that links them unseen."""
+    import numpy as np
+    import pyarrow as pa
+
+    def row(ids, mark=0):
+        return {"keys": np.full(len(ids), 7, np.uint64).tobytes(), "ids": np.array(ids, np.uint64).tobytes(), "marks": np.array([mark] + [0] * (len(ids) - 1), np.uint8).tobytes(), "a": b"", "b": b""}
+
+    assert jaccard._scan_lists(pa.Table.from_pylist([row([3, 5])] * 20)).to_pylist() == [{"a": 3, "b": 5, "sure": False}]
+    assert jaccard._scan_lists(pa.Table.from_pylist([row([3, 5])] * 20 + [row([3], 1)])).to_pylist() == [{"a": 3, "b": 5, "sure": True}]
+    many = jaccard._scan_lists(pa.Table.from_pylist([row([*range(1, 2 + jaccard.LONG)])])).to_pylist()
+    assert many == [{"a": 1, "b": k, "sure": True} for k in range(2, 2 + jaccard.LONG)]
+
+
+def test_thinned_rows_hold_all_wanted_and_few_others(spark):
+    docs = spark.range(20_000).selectExpr("nullif(id, 0) doc_id", "concat('text ', id) text").withColumn("t", jaccard.text_key())
+    wanted = docs.where("doc_id is null or doc_id % 50 = 7")
+    got = [r["text"] for r in jaccard.thinned(docs, wanted.select(jaccard.row_key("doc_id", "t").alias("key")), wanted.count()).collect()]
+    assert {r["text"] for r in wanted.collect()} <= set(got) and len(got) == len(set(got)) < 401 + 600
+
+
 def test_components_of_few_and_of_many_edges_are_alike(spark):
     from burrow.llm.common import Scratch, components
 
